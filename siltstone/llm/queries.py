@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, simhash, token_blocks
+from . import common, mixing, packing, pii, quality, simhash, token_blocks
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,16 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_index(docs, tokenizer_path())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = common.pick(common.table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return quality.scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path())
@@ -39,7 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_token_blocks": op4_token_blocks,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
