@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, pii, quality, simhash, token_blocks
+from . import common, embed_dedup, mixing, packing, pii, quality, simhash, token_blocks
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
+def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(common.pick(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     found = simhash.groups(docs)
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_blocks": op4_token_blocks,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_embed_dedup": op7_embed_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
