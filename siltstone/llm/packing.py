@@ -118,7 +118,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
         packer = Packer(size, open_windows, part << 32)
         for batch in batches:
             who = batch.column(0).to_pylist()
-            for at, flat, counts in encode_batches(batch.column(1).to_pylist(), definition, end_id):
+            for at, flat, counts in encode_batches(batch.column(1), definition, end_id):
                 ends = np.cumsum(counts)
                 for doc, end, n in zip(who[at : at + len(counts)], ends.tolist(), counts.tolist(), strict=True):
                     packer.add(doc, 0, n, flat[end - n : end])
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
 
         return merge
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc_id", "text")
     packed = common.materialize(texts.mapInArrow(first, PIECES), "packed")
     results, rest, level = [packed.where("ids is null")], packed.where("ids is not null"), 0
     while True:

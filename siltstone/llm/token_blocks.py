@@ -43,7 +43,7 @@ SEGMENT_IDS = 1 << 20
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs; 0 for 0."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.int8)
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,7 +84,8 @@ def encode_blocks(ids: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray
     low = full.min(axis=1)
     above = full - low[:, None]
     bits = bit_lengths(above)
-    width = np.sort(bits, axis=1)[:, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)]
+    rank = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
+    width = np.partition(bits, rank, axis=1)[:, rank].astype(np.int64)
     wide = bits > width[:, None]
     outliers = wide.sum(axis=1)
     sizes = 6 + 16 * width + 5 * outliers
@@ -161,6 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         names: list = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        held = 0
 
         def close() -> pa.RecordBatch:
             data = encode_segment(part, number, names, np.concatenate(sizes), np.concatenate(ids), percentile)
@@ -168,19 +170,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         for batch in batches:
             who = batch.column(0).to_pylist()
-            for at, flat, counts in encode_batches(batch.column(1).to_pylist(), definition, end_id):
+            for at, flat, counts in encode_batches(batch.column(1), definition, end_id):
                 names += who[at : at + len(counts)]
                 sizes.append(counts)
                 ids.append(flat)
-                if sum(map(len, ids)) >= segment_ids:
+                held += len(flat)
+                if held >= segment_ids:
                     yield close()
                     number += 1
-                    names, sizes, ids = [], [], []
+                    names, sizes, ids, held = [], [], [], 0
         if names:
             yield close()
 
     ordered = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+        docs.select("doc_id", "text")
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
