@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embed_dedup, mixing, packing, pii, quality, simhash, token_blocks
+from . import common, embed_dedup, imatch, mixing, packing, pii, quality, simhash, token_blocks
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,10 @@ def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(common.pick(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     found = simhash.groups(docs)
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_embed_dedup": op7_embed_dedup,
+    "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
