@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and U+0009..U+000D.
@@ -80,3 +80,36 @@ def collect_floor(rows: DataFrame, key: str, total: str, out: str, within: str |
     inner = Window.partitionBy(key).orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum(total).over(inner), F.lit(0)))
     return rows.join(tops, key).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in")
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it in an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def quantile_edges(rows: DataFrame, column: str, rows_each: int = 8192, least: int = 512, most: int = 1 << 16) -> list:
+    """Approximate quantiles of a column that split it into about ``rows_each`` rows apiece."""
+    parts = min(most, max(least, rows.count() // rows_each))
+    cut = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    return sorted(set(cut or []))
+
+
+def bucket(value: Column, edges: list[int]) -> Column:
+    """How many of the sorted ``edges`` are below ``value`` (-1 for null), by a search of 32 ways."""
+    if not edges:
+        return F.when(value.isNull(), -1).otherwise(0)
+    table = F.array(*map(F.lit, edges))
+    at = F.lit(0)
+    step = 1
+    while step * 32 < len(edges) + 1:
+        step *= 32
+    places = F.array(*map(F.lit, range(1, 33)))
+    while step:
+        at = _search(at, table, value, step, places)
+        step //= 32
+    return F.when(value.isNull(), -1).otherwise(at)
+
+
+def _search(at: Column, table: Column, value: Column, step: int, places: Column) -> Column:
+    below = lambda a: F.filter(places, lambda j: F.coalesce(F.get(table, (a + j * step - 1).cast("int")) < value, F.lit(False)))
+    return let(at, lambda a: a + step * F.size(below(a)))

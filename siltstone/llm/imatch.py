@@ -26,17 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .common import bucket, let
 
 #: (bits that choose the subset, place of these bits in a term's hash, subsets kept)
 LEVELS = ((2, 0, 4), (4, 2, 16), (6, 6, 16), (8, 12, 16), (10, 20, 16), (12, 30, 16))
 LEAST, FEW = 4, 4
 
 
-def let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and use it in an expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms: lower-case runs of letters and digits."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -111,27 +107,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(let(both, by_level), F.lit(0.0)))
 
 
-def bucket(value: Column, edges: list[int]) -> Column:
-    """How many of the sorted ``edges`` are below ``value`` (-1 for null), by a search of 32 ways."""
-    if not edges:
-        return F.when(value.isNull(), -1).otherwise(0)
-    table = F.array(*map(F.lit, edges))
-    at = F.lit(0)
-    step = 1
-    while step * 32 < len(edges) + 1:
-        step *= 32
-    places = F.array(*map(F.lit, range(1, 33)))
-    while step:
-        at = _search(at, table, value, step, places)
-        step //= 32
-    return F.when(value.isNull(), -1).otherwise(at)
-
-
-def _search(at: Column, table: Column, value: Column, step: int, places: Column) -> Column:
-    below = lambda a: F.filter(places, lambda j: F.coalesce(F.get(table, (a + j * step - 1).cast("int")) < value, F.lit(False)))
-    return let(at, lambda a: a + step * F.size(below(a)))
-
-
 def with_next(docs: DataFrame, mark=None, rows_each: int = 8192, least: int = 512, most: int = 1 << 16) -> DataFrame:
     """(doc_id, text) with next_text of the following row in descending doc_id, the last followed by
     the first; also fp and next_fp if ``mark`` adds a column fp of the text.
@@ -142,10 +117,7 @@ def with_next(docs: DataFrame, mark=None, rows_each: int = 8192, least: int = 51
     """
     columns = ["text"] + ["fp"] * (mark is not None)
     marked = docs if mark is None else mark(docs, "text", "fp")
-    n = docs.count()
-    parts = min(most, max(least, n // rows_each))
-    cut = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    edges = sorted(set(cut))
+    edges = common.quantile_edges(docs, "doc_id", rows_each, least, most)
     placed = docs.withColumn("_bucket", bucket(F.col("doc_id"), edges))
     heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
     down = Window.orderBy(F.col("_bucket").desc())

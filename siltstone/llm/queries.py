@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embed_dedup, imatch, mixing, packing, pii, quality, simhash, token_blocks
+from . import common, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,43 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_index(docs, tokenizer_path())
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Two capture records for each page: a full response, and a not-modified answer at another time.
+
+    Times and the presence of validators follow from page_id, so that answers come before and after
+    their page, after other captures of the same address, and with both, one or no validator.
+    """
+    i = F.col("page_id")
+    etag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    modified = F.concat(F.lit("day "), F.expr("page_id div 7"))
+    at, later = 3 * i, 3 * i + (i * 7919) % 2001 - 200
+    some = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    full = some(
+        F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("etag"), etag,
+        F.lit("last-modified"), modified, F.lit("cache-control"), F.lit("max-age=600"), F.lit("date"), at.cast("string"),
+    )
+    short = some(
+        F.lit("content-length"), F.lit("0"), F.lit("etag"), F.when(i % 11 > 0, etag), F.lit("last-modified"), F.when(i % 13 > 0, modified),
+        F.lit("cache-control"), F.lit("max-age=1200"), F.lit("expires"), (later + 1200).cast("string"), F.lit("date"), later.cast("string"),
+    )
+    kinds = F.array(
+        F.struct((2 * i).alias("record_id"), at.alias("ts"), F.lit("response").alias("kind"), full.alias("headers")),
+        F.struct((2 * i + 1).alias("record_id"), later.alias("ts"), F.lit("revisit").alias("kind"), short.alias("headers")),
+    )
+    return pages.select("url", F.explode(kinds).alias("r")).select("url", "r.*")
+
+
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.pick(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    found = warc.resolve(captures(pages))
+    pairs = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "canonical_url", "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), F.array_join(F.array_sort(pairs), "|").alias("headers"))
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.pick(common.table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = common.pick(common.table(spark, sf_dir, "labels"), "doc_id", "quality")
@@ -57,6 +94,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
+    "op2_html_extract": op2_html_extract,
     "op3_quality": op3_quality,
     "op4_token_blocks": op4_token_blocks,
     "op5_pii": op5_pii,
@@ -88,4 +127,36 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+OP1_SQL = r"""
+WITH r AS (
+  SELECT url, 2 * page_id AS record_id, 3 * page_id AS ts, true AS is_full, page_id, '"' || substr(md5(html), 1, 16) || '"' AS etag,
+    'day ' || (page_id // 7) AS modified, strlen(html) AS size FROM pages
+  UNION ALL
+  SELECT url, 2 * page_id + 1, 3 * page_id + (page_id * 7919) % 2001 - 200, false, page_id,
+    CASE WHEN page_id % 11 > 0 THEN '"' || substr(md5(html), 1, 16) || '"' END, CASE WHEN page_id % 13 > 0 THEN 'day ' || (page_id // 7) END, 0 FROM pages),
+u AS (SELECT *, regexp_replace(trim(url), '#.*$', '', 's') AS v FROM r),
+b AS (
+  SELECT *, regexp_replace(regexp_extract(v, '^[^?]*'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+    regexp_extract(v, '[?](.*)$', 1) AS query FROM u),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/]*')), '^www[.]', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_replace(rest, '^[^/]*', ''), '/+$', '') AS page,
+    array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p,
+      '^(utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid|ref|ref_src|phpsessid|jsessionid|sessionid|sid)(=|$)'))), '&') AS kept FROM b),
+d AS (SELECT *, page || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical_url FROM c),
+j AS (
+  SELECT *, last_value(CASE WHEN is_full THEN struct_pack(id := record_id, etag := etag, modified := modified, size := size, ts := ts) END IGNORE NULLS)
+    OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM d),
+s AS (
+  SELECT *, CASE WHEN canonical_url IS NULL OR f IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN etag = f.etag THEN 'resolved' ELSE 'validator_mismatch' END
+    WHEN modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END
+    ELSE 'resolved_unverified' END AS status FROM j WHERE NOT is_full)
+SELECT record_id, canonical_url, status, CASE WHEN status LIKE 'resolved%' THEN f.id ELSE -1 END AS response_id,
+  CASE WHEN status LIKE 'resolved%' THEN array_to_string(list_sort(list_filter([
+    'cache-control=max-age=1200', 'content-length=' || f.size, 'content-type=text/html', 'date=' || ts, 'etag=' || coalesce(etag, f.etag),
+    'expires=' || (ts + 1200), 'last-modified=' || coalesce(modified, f.modified)], lambda x: x IS NOT NULL)), '|') END AS headers
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op1_revisits": OP1_SQL, "op10_mixing": OP10_SQL}

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import imatch, queries
+from siltstone.llm import common, imatch, queries
 
 from .edge import edge_docs, empty, with_clashes
 
@@ -55,7 +55,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
 
 def test_bucket_search(spark):
     edges = sorted({(i * 7919) % 100_003 for i in range(1500)})
-    rows = spark.range(0, 100_010, 37).select("id", imatch.bucket(F.col("id"), edges).alias("b")).collect()
+    rows = spark.range(0, 100_010, 37).select("id", common.bucket(F.col("id"), edges).alias("b")).collect()
     import bisect
 
     assert all(r.b == bisect.bisect_left(edges, r.id) for r in rows)
