@@ -1,15 +1,61 @@
-"""Corpus pipeline over the training-data operators (stages follow)."""
+"""Corpus pipeline: quality filter, near-duplicate removal, redaction, mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the
+last return the columns of ``documents``; the last returns the pieces of packed sequences. ``run``
+writes each stage's result to the scratch folder and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import common, mixing, packing, pii, quality, queries, simhash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = common.pick(common.table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return quality.accepted(common.pick(docs, *COLUMNS), labels)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: the one with the smallest id."""
+    return simhash.deduplicated(common.pick(docs, *COLUMNS))
+
+
+def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    docs = pii.redacted(common.pick(docs, *COLUMNS))
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit(""))).cast("long"))).select(*COLUMNS)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(common.pick(docs, *COLUMNS))
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed token sequences, one row each."""
+    return packing.pack_documents(common.pick(docs, "doc_id", "text"), queries.tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash", dedup_stage),
+    ("pii", redact_stage),
+    ("mixing", mix_stage),
+    ("packing", pack_stage),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the tokenizer; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
