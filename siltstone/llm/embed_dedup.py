@@ -32,7 +32,7 @@ from . import common
 from .components import connected_components
 
 BITS = 48
-TILE = 512
+TILE = 128
 
 
 def passes_for(n: int, window: int, threshold: float, miss: float) -> int:
@@ -150,11 +150,11 @@ def window_edges(items: DataFrame, kind: str, first: int, count: int, window: in
 def link_counts(members: DataFrame, kind: str, threshold: float, tile: int = TILE) -> DataFrame:
     """(rep, links): for (component, rep, copies, raw), the vectors linked to each, itself excluded.
 
-    A component of c vectors is dealt to about c / tile chunks by hash; every two chunks meet in one
-    tile, as does every chunk with itself.
+    A component of c vectors is dealt to chunks of about c / 8 of them, between ``tile`` and 16 times as
+    many, by hash; every two chunks meet in one tile, as does every chunk with itself.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    rows = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("n") / tile).cast("int"))
+    rows = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(tile), F.least(F.lit(16 * tile), F.col("n") / 8))).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep", "copies", "raw")
