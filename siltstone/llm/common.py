@@ -48,6 +48,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_slices(texts, most: int = 2 << 20):
+    """(start, stop) of runs of an Arrow column of strings or binaries with about ``most`` bytes each,
+    so that no more than one run is turned into Python objects at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows; else the join is left to Spark."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only; extra columns of any name are left behind here."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -87,7 +106,7 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def quantile_edges(rows: DataFrame, column: str, rows_each: int = 8192, least: int = 512, most: int = 1 << 16) -> list:
+def quantile_edges(rows: DataFrame, column: str, rows_each: int = 2048, least: int = 512, most: int = 1 << 16) -> list:
     """Approximate quantiles of a column that split it into about ``rows_each`` rows apiece."""
     parts = min(most, max(least, rows.count() // rows_each))
     cut = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]

@@ -107,7 +107,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(let(both, by_level), F.lit(0.0)))
 
 
-def with_next(docs: DataFrame, mark=None, rows_each: int = 8192, least: int = 512, most: int = 1 << 16) -> DataFrame:
+def with_next(docs: DataFrame, mark=None, rows_each: int = 2048, least: int = 512, most: int = 1 << 16) -> DataFrame:
     """(doc_id, text) with next_text of the following row in descending doc_id, the last followed by
     the first; also fp and next_fp if ``mark`` adds a column fp of the text.
 
