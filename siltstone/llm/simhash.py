@@ -62,15 +62,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fp, at = [], 0
-            while at < len(texts):  # about 2 MB of text at a time
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 2 << 20):
-                    size += len(texts[to] or b"")
-                    to += 1
-                fp.append(fingerprint_texts(texts[at:to], words, seed))
-                at = to
+            texts = batch.column(1)
+            fp = [fingerprint_texts(texts.slice(a, b - a).to_pylist(), words, seed) for a, b in common.byte_slices(texts)]
             made = np.concatenate(fp) if fp else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
@@ -150,10 +143,9 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Repeated rows with the same doc_id count as copies: the one with the smallest text stays. Rows
     without a doc_id are kept.
     """
-    kept = groups(docs, **options).groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_own"))
-    kept = kept.where("_own").withColumnRenamed("doc_id", "_kept")
-    rows = docs.select("doc_id", F.struct("*").alias("row")).join(kept, F.col("doc_id") == F.col("_kept"), "left")
-    rows = rows.where("_kept is not null or doc_id is null")
-    once = rows.where("coalesce(_n, 1) = 1").select("row")
-    again = rows.where("_n > 1").groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
-    return once.unionByName(again.select("row")).select("row.*")
+    kept = groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id", "left_semi")
+    # The join leaves the rows dealt and sorted by doc_id, so this aggregate needs no exchange of its own.
+    once = named.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    nameless = docs.where("doc_id is null").select(F.struct("*").alias("row"))
+    return once.select("row").unionByName(nameless).select("row.*")

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import byte_slices
+
 #: Words that one Python worker keeps for good, and how many later ones besides.
 FIRST_WORDS, MORE_WORDS = 220_000, 150_000
 #: Where a letter and punctuation meet, the pre-tokenizer cuts in any case; cutting there first
@@ -126,10 +128,6 @@ class WordTokenizer:
 
 def encode_batches(texts: pa.Array, definition: str, end: int, most: int = 5 << 20):
     """Encode a column of texts in steps of about ``most`` bytes: (first row, ids, ids of each row)."""
-    coder, at = tokenizer(definition), 0
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+    coder = tokenizer(definition)
+    for at, to in byte_slices(texts, most):
         yield at, *coder.encode(texts.slice(at, to - at), end)
-        at = to
