@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime
 import io
-import tempfile
 import zipfile
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import scalars
 from siltstone.operators import archive, detect, entropy, lines, listing, rules, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
+from siltstone.scratch import scratch_path
 
 from . import report, scan, state, store, tasks
 
@@ -136,7 +136,7 @@ def summary_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Custom rules over the documents' lines.
 
 DOC_LINES = (
-    "doc_lines AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_number, regexp_replace(unnest(parts), '\\r$', '') AS line FROM (SELECT doc_id, "
+    "doc_lines AS (SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_number, regexp_replace(unnest(parts), '\\r$', '') AS line FROM (SELECT doc_id, "
     "CASE WHEN text = '' THEN [] WHEN list_last(string_split(text, chr(10))) = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS parts FROM documents WHERE text IS NOT NULL) AS s0)"
 )
 
@@ -303,7 +303,7 @@ def listing_dirs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES_SQL = (
     "files AS (SELECT o_orderkey AS k, concat('org/g', CAST(o_custkey % 50 AS VARCHAR), '/a', CAST(o_orderkey % 40 AS VARCHAR), '/1.', CAST(o_orderkey % 6 AS VARCHAR), '/a', CAST(o_orderkey % 40 AS VARCHAR), "
-    "CASE o_orderkey % 8 WHEN 0 THEN '.jar' WHEN 1 THEN '-sources.jar' WHEN 2 THEN '-javadoc.jar' WHEN 3 THEN '.pom' WHEN 4 THEN '.war' WHEN 5 THEN '.jar.sha1' WHEN 6 THEN '.JAR' ELSE '-tests.jar' END) AS path FROM orders)"
+    "CASE o_orderkey % 8 WHEN 0 THEN '.jar' WHEN 1 THEN '-sources.jar' WHEN 2 THEN '-javadoc.jar' WHEN 3 THEN '.pom' WHEN 4 THEN '.war' WHEN 5 THEN '.jar.sha1' WHEN 6 THEN '.JAR' ELSE '-tests.jar' END) AS path, o_orderstatus AS st FROM orders)"
 )
 
 
@@ -311,7 +311,7 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda e: F.expr(f"cast({e} as string)")
     ends = F.get(F.array(*map(F.lit, [".jar", "-sources.jar", "-javadoc.jar", ".pom", ".war", ".jar.sha1", ".JAR", "-tests.jar"])), F.col("o_orderkey") % 8)
     path = F.concat(F.lit("org/g"), text("o_custkey % 50"), F.lit("/a"), text("o_orderkey % 40"), F.lit("/1."), text("o_orderkey % 6"), F.lit("/a"), text("o_orderkey % 40"), ends)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), path.alias("path"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), path.alias("path"), F.col("o_orderstatus").alias("st"))
 
 
 ARTIFACT = "regexp_matches(path, '[.](jar|war|ear|pom|xml)$')"
@@ -337,7 +337,7 @@ def gav_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES_SQL} SELECT k, path FROM files WHERE starts_with(path, 'org/g1/')")
 def group_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.under_group(repo_files(spark, sf_dir), "org.g1")
+    return listing.under_group(repo_files(spark, sf_dir), "org.g1").select("k", "path")
 
 
 @query(f"WITH {FILES_SQL}, a AS (SELECT DISTINCT path FROM files) SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM a")
@@ -361,20 +361,20 @@ def rule_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH b AS (SELECT p_size AS id, min(p_partkey) AS ord FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), c AS (SELECT p_size AS id, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), "
+    "WITH b AS (SELECT p_size AS id, min(p_partkey) AS ord FROM part WHERE p_retailprice < 1500 GROUP BY 1), c AS (SELECT p_size AS id, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_retailprice > 1400 GROUP BY 1), "
     "m AS (SELECT id, CASE WHEN b.id IS NOT NULL THEN 0 ELSE 1 END AS late, coalesce(b.ord, c.lo) AS ord, CASE WHEN c.id IS NOT NULL THEN 'custom' ELSE 'builtin' END AS origin, coalesce(c.hi, b.ord) AS src FROM b FULL JOIN c USING (id)) "
     "SELECT CAST(id AS VARCHAR) AS id, origin, src, CAST(row_number() OVER (ORDER BY late, ord) - 1 AS INTEGER) AS rule_ord FROM m"
 )
 def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("id"), F.col("p_partkey").alias("src"), F.col("p_partkey").alias("rule_ord"))
-    base = part.where("src % 2 = 0").withColumn("origin", F.lit("builtin"))
-    return rules.merge_tables(base, part.where("src % 3 = 0").withColumn("origin", F.lit("custom"))).select("id", "origin", "src", "rule_ord")
+    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("id"), F.col("p_partkey").alias("src"), F.col("p_partkey").alias("rule_ord"), "p_retailprice")
+    base = part.where("p_retailprice < 1500").withColumn("origin", F.lit("builtin"))
+    return rules.merge_tables(base, part.where("p_retailprice > 1400").withColumn("origin", F.lit("custom"))).select("id", "origin", "src", "rule_ord")
 
 
 # State between runs.
 
-DONE = "done AS (SELECT DISTINCT gav_path FROM paths WHERE k % 5 = 0)"
-PATHS = f"{FILES_SQL}, paths AS (SELECT k, path, regexp_replace(path, '/[^/]*$', '') AS gav_path FROM files)"
+DONE = "done AS (SELECT DISTINCT gav_path FROM paths WHERE st = 'P')"
+PATHS = f"{FILES_SQL}, paths AS (SELECT k, path, st, regexp_replace(path, '/[^/]*$', '') AS gav_path FROM files)"
 
 
 def gav_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,13 +384,13 @@ def gav_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PATHS}, {DONE} SELECT k, path FROM paths WHERE gav_path NOT IN (SELECT gav_path FROM done)")
 def skip_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gav_paths(spark, sf_dir)
-    return state.not_in(rows, rows.where("k % 5 = 0")).select("k", "path")
+    return state.not_in(rows, rows.where("st = 'P'")).select("k", "path")
 
 
-@query(f"WITH {PATHS}, d AS (SELECT DISTINCT gav_path AS dir FROM paths WHERE k % 97 = 0 UNION SELECT 'org/g3') SELECT k, path FROM paths WHERE EXISTS (SELECT 1 FROM d WHERE gav_path = dir OR starts_with(gav_path, dir || '/'))")
+@query(f"WITH {PATHS}, d AS (SELECT DISTINCT gav_path AS dir FROM paths WHERE st = 'P' AND path LIKE '%.war' UNION SELECT 'org/g3') SELECT k, path FROM paths WHERE EXISTS (SELECT 1 FROM d WHERE gav_path = dir OR starts_with(gav_path, dir || '/'))")
 def revisit_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gav_paths(spark, sf_dir)
-    dirs = state.pending(rows.where("k % 97 = 0"), spark.sql("select 'org/g3' as gav_path"))
+    dirs = state.pending(rows.where("st = 'P' and path like '%.war'"), spark.sql("select 'org/g3' as gav_path"))
     return state.revisit(rows, dirs).select("k", "path")
 
 
@@ -400,18 +400,18 @@ def retryable_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.retryable(failed, 3).select("k")
 
 
-@query(f"WITH {PATHS} SELECT gav_path, CAST(count(*) AS INTEGER) AS retries, max(k) AS last FROM paths WHERE k % 4 = 0 GROUP BY gav_path")
+@query(f"WITH {PATHS} SELECT gav_path, CAST(count(*) AS INTEGER) AS retries, max(k) AS last FROM paths WHERE st = 'F' GROUP BY gav_path")
 def failed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gav_paths(spark, sf_dir).where("k % 4 = 0").select("gav_path", F.col("k").cast("string").alias("error"), F.col("k").alias("failed_at"))
+    rows = gav_paths(spark, sf_dir).where("st = 'F'").select("gav_path", F.col("k").cast("string").alias("error"), F.col("k").alias("failed_at"))
     none = rows.limit(0).withColumn("retries", F.lit(0))
     return state.mark_failed(none, rows).select("gav_path", "retries", F.col("error").cast("long").alias("last"))
 
 
-@query(f"WITH {PATHS}, a AS (SELECT DISTINCT gav_path FROM paths WHERE k % 2 = 0), b AS (SELECT DISTINCT gav_path FROM paths WHERE k % 3 = 0) SELECT gav_path, 'old' AS origin FROM a UNION ALL SELECT gav_path, 'new' FROM b WHERE gav_path NOT IN (SELECT gav_path FROM a)")
+@query(f"WITH {PATHS}, a AS (SELECT DISTINCT gav_path FROM paths WHERE st = 'F'), b AS (SELECT DISTINCT gav_path FROM paths WHERE st = 'O') SELECT gav_path, 'old' AS origin FROM a UNION ALL SELECT gav_path, 'new' FROM b WHERE gav_path NOT IN (SELECT gav_path FROM a)")
 def merge_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gav_paths(spark, sf_dir)
-    part = lambda n, name: rows.where(f"k % {n} = 0").select("gav_path").distinct().withColumn("origin", F.lit(name))
-    return state.add_new(part(2, "old"), part(3, "new"))
+    part = lambda st, name: rows.where(F.col("st") == st).select("gav_path").distinct().withColumn("origin", F.lit(name))
+    return state.add_new(part("F", "old"), part("O", "new"))
 
 
 # History.
@@ -446,20 +446,20 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(records(spark, sf_dir), seq="seq").select("group_id", "artifact_id", "version", "seq", "status")
 
 
-@query(f"WITH {RECORDS_SQL}, n AS (SELECT * FROM recs WHERE seq % 2 = 0), nl AS (SELECT group_id, artifact_id, version, arg_max(seq, scan_time) AS seq FROM n GROUP BY 1, 2, 3) SELECT group_id, artifact_id, version, max(scan_time) AS scan_time, count(*) AS n FROM n GROUP BY 1, 2, 3 UNION ALL SELECT o.group_id, o.artifact_id, o.version, max(o.scan_time), count(DISTINCT o.version) FROM recs o LEFT JOIN nl USING (group_id, artifact_id, version) WHERE o.seq % 2 = 1 AND nl.seq IS NULL GROUP BY 1, 2, 3")
+@query(f"WITH {RECORDS_SQL}, n AS (SELECT * FROM recs WHERE status = 'complete'), nl AS (SELECT group_id, artifact_id, version, arg_max(seq, scan_time) AS seq FROM n GROUP BY 1, 2, 3) SELECT group_id, artifact_id, version, max(scan_time) AS scan_time, count(*) AS n FROM n GROUP BY 1, 2, 3 UNION ALL SELECT o.group_id, o.artifact_id, o.version, max(o.scan_time), count(DISTINCT o.version) FROM recs o LEFT JOIN nl USING (group_id, artifact_id, version) WHERE o.status = 'failed' AND nl.seq IS NULL GROUP BY 1, 2, 3")
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    old = store.latest(rows.where("seq % 2 = 1"))
-    counts = rows.where("seq % 2 = 0").groupBy("group_id", "artifact_id", "version").agg(F.count("*").alias("n"))
-    return store.upsert(old, rows.where("seq % 2 = 0")).join(counts, ["group_id", "artifact_id", "version"], "left").select("group_id", "artifact_id", "version", "scan_time", F.coalesce("n", F.lit(1)).alias("n"))
+    old = store.latest(rows.where("status = 'failed'"))
+    counts = rows.where("status = 'complete'").groupBy("group_id", "artifact_id", "version").agg(F.count("*").alias("n"))
+    return store.upsert(old, rows.where("status = 'complete'")).join(counts, ["group_id", "artifact_id", "version"], "left").select("group_id", "artifact_id", "version", "scan_time", F.coalesce("n", F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FOUND_SQL} SELECT record_id, rule_id, 'old' AS origin FROM found WHERE record_id % 3 <> 0 UNION ALL SELECT record_id, 'renewed', 'new' FROM found WHERE record_id % 3 = 0 AND line_number = 1")
+@query(f"WITH {FOUND_SQL} SELECT record_id, rule_id, 'old' AS origin FROM found WHERE record_id NOT IN (SELECT record_id FROM found WHERE rule_id = 'rule7') UNION ALL SELECT DISTINCT record_id, 'renewed', 'new' FROM found WHERE rule_id = 'rule7'")
 def upsert_findings_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(spark, sf_dir)
     old = rows.select("record_id", "rule_id", F.lit("old").alias("origin"))
-    new = rows.where("record_id % 3 = 0 and line_number = 1").select("record_id", F.lit("renewed").alias("rule_id"), F.lit("new").alias("origin"))
-    return store.replace_findings(old, new, rows.where("record_id % 3 = 0").select(F.col("record_id").alias("id")))
+    new = rows.where("rule_id = 'rule7'").select("record_id", F.lit("renewed").alias("rule_id"), F.lit("new").alias("origin")).distinct()
+    return store.replace_findings(old, new, new.select(F.col("record_id").alias("id")))
 
 
 @query(f"WITH {RECORDS_SQL}, {FOUND_SQL} SELECT count(*) AS total_scanned, count(*) FILTER (status = 'complete') AS total_complete, count(*) FILTER (status = 'failed') AS total_failed, CAST(coalesce(sum(findings_count), 0) AS BIGINT) AS total_findings, (SELECT count(*) FROM found WHERE severity = 'CRITICAL') AS critical, (SELECT count(*) FROM found WHERE severity = 'HIGH') AS high FROM recs")
@@ -624,8 +624,7 @@ def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a file stream, scanned in micro-batches into a table."""
     from siltstone.streaming.incremental import detect_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
-    base = f"{base.rstrip('/')}/stream-{datetime.datetime.now().timestamp()}"
+    base = scratch_path(spark, "stream")
     rows = corpus(spark, sf_dir).select("k", "file_path", F.col("line").alias("text"))
     rows.repartition(4).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
