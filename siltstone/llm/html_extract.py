@@ -33,7 +33,7 @@ TAG = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORDS = re.compile(r"[a-z]+", re.I)
 
@@ -53,6 +53,8 @@ APART_WORDS = frozenset(
     "comments commentlist disqus reply replies respond discussion related recommended recommendations breadcrumb breadcrumbs pagination pager widget "
     "search toolbar topbar skip skiplink copyright legal disclaimer complementary contentinfo feedback rating toc tags tagcloud trending popular".split()
 )
+#: Those among them that don't count where words for the article stand beside them.
+WEAK_WORDS = frozenset("header masthead popular trending legal rating feedback tags toc search overlay notice".split())
 #: The same for the article itself.
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody".split())
@@ -82,14 +84,14 @@ class Element:
         elif tag in MAIN:
             main = True
         if attributes and tag not in ("html", "body"):
-            for kind, a, b, c in NAMED.findall(attributes):
+            for _, a, b, c in NAMED.findall(attributes):
                 words = {w.lower() for w in WORDS.findall(a or b or c)}
-                if words & APART_WORDS:
-                    if not (inside and words & {"header", "tags"}) and not (words & MAIN_WORDS and not words & {"comment", "comments", "related", "ad", "ads", "sidebar", "nav", "footer", "menu", "share"}):
-                        apart = True
+                against = words & APART_WORDS
+                if against - WEAK_WORDS or (against and not words & MAIN_WORDS and not (inside and "header" in against)):
+                    apart = True
                 elif words & SLIGHT_WORDS:
                     slight = True
-                elif words & MAIN_WORDS and kind.lower() != "role" or "main" in words:
+                elif words & MAIN_WORDS:
                     main = True
             if "hidden" in attributes or "display" in attributes:
                 apart = apart or bool(HIDDEN.search(attributes))

@@ -107,6 +107,17 @@ def test_article_is_kept_and_the_rest_goes():
     assert html_extract.main_text(PAGE) == ("\n".join(want), 4)
 
 
+def test_words_of_class_and_id():
+    text = "This is a paragraph, and it has some words in it, so that it could be content."
+    kept = ["content", "entry-header", "main-content", "post", "article-body"]
+    gone = ["sponsored-content", "content-sidebar", "adBox1 ad", "post-comments", "site-header", "newsletter signup", "related-articles", "article-footer", "cookie_banner"]
+    for name in kept + gone:
+        page = f'<body><div class="{name}"><p>{text}</p></div><div><p>Another paragraph that is here, for any page has some.</p></div></body>'
+        assert (text in html_extract.main_text(page)[0]) == (name in kept), name
+    assert html_extract.main_text(f'<article><header><h1>Title</h1></header><p>{text}</p><aside>{text} More.</aside></article>')[0] == f"Title\n{text}"
+    assert html_extract.main_text(f'<p>{text}</p><ul><li><a href="x">One</a></li><li><a href="y">Two words</a></li></ul>')[0] == text
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "<p", "<!-- open", "<script>never closed", "&lt;b&gt; just text, and a sentence with a few more words.", "<div>" * 5000 + "Deep text, with some words in it." + "</p>" * 5000, "<a href=\"x>y", "\x00", "<p>" * 20000]
     frame = spark.createDataFrame([(i, "u", h, "x") for i, h in enumerate(odd)] + [(None, None, None, None)] * 2, "page_id long, url string, html string, text string")
