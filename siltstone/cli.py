@@ -17,11 +17,15 @@ import uuid
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.functions.scalars import gav_path, interval_text, parse_size
 from siltstone.operators import rules, summary
+from siltstone.operators.listing import artifacts, first_per_key
 from siltstone.plans import report, scan, state, store, tasks
 from siltstone.sources import http
+from siltstone.streaming.incremental import scan_stream
 
 VERSION = "0.1.0"
 
@@ -36,46 +40,53 @@ def now() -> datetime.datetime:
     return datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None, microsecond=0)
 
 
-def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None, todo: DataFrame | None) -> DataFrame:
-    """Artifacts with content, from a folder or over HTTP; ``done`` is left out, but for ``todo``."""
-    from pyspark.sql import functions as F
-
-    from siltstone.operators.listing import artifacts, first_per_key
-
-    if not config.repo_url.startswith("http"):
+def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None, todo: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """(artifacts with content, directories that failed), from a folder or over HTTP; what is ``done``
+    is left out, unless it lies in a ``todo`` directory."""
+    failed: list[str] = []
+    remote = config.repo_url.startswith("http")
+    if not remote:
         found = scan.discover(spark, config)
     else:
         options = http.Options(config.timeout, config.retries, config.qps, http_limit(config), header=config.auth_header, token=config.auth_token, user=config.auth_user, password=config.auth_pass)
-        files, _ = http.walk(spark, config.repo_url, options, config.browser_concurrency or max(config.concurrency, 32), config.group, config.include_sources, config.skip_pom)
+        files, bad = http.walk(spark, config.repo_url, options, config.browser_concurrency or max(config.concurrency, 32), config.group, config.include_sources, config.skip_pom)
+        failed = [r.path for r in bad.collect()]
         found = artifacts(files, "path", config.include_sources, config.skip_pom, config.exclude or None)
         if config.one_file_per_gav:
             found = first_per_key(found)
     if done is not None:
-        again = state.revisit(found, todo) if todo is not None else found.limit(0)
-        found = state.not_in(found, done).unionByName(state.not_in(again, state.not_in(found, done).select("gav_path")))
-    if config.repo_url.startswith("http"):
+        left = done if todo is None else state.not_in(done, state.revisit(done, todo))
+        found = state.not_in(found, left)
+    if remote:
         found = http.fetch_all(found, options, config.download_concurrency or max(config.concurrency, 64)).where(F.col("content").isNotNull())
-    return found
+    return found, failed
 
 
 def http_limit(config: Config) -> int:
-    from siltstone.functions.scalars import parse_size
-
     return parse_size(config.max_file_size)
 
 
 def run_scan(spark: SparkSession, config: Config, home: str) -> int:
+    """Scan, report, and keep the results in the history.
+
+    What is done is known from the history table, not from the state file, so resuming is an
+    anti-join however much has been scanned; the file holds options, counters and failed directories.
+    """
     config.validate()
     path, done, todo = os.path.join(home, config.state_file), None, None
     os.makedirs(home, exist_ok=True)
+    history = store.Store(spark, os.path.join(home, "history"))
     current = state.new_state(config, uuid.uuid4().hex[:12])
     if config.resume and os.path.exists(path):
         current = state.load(path)
         state.check_drift(current, config)
         print("Resuming:", json.dumps(state.estimate(current)))
-        skip = current["completed_artifacts"] + ([] if config.retry_failed else [f["path"] for f in current["failed_artifacts"]])
-        done = spark.createDataFrame([(p,) for p in skip], "gav_path string")
-        todo = spark.createDataFrame([(p,) for p in current["in_flight_artifacts"] + current["failed_dirs"]], "gav_path string")
+        known = history.read("records").where(F.col("repo_url") == config.repo_url)
+        if config.retry_failed:
+            known = known.where("status = 'complete'")
+        done = known.select(gav_path(F.col("group_id"), F.col("artifact_id"), F.col("version")).alias("gav_path"))
+        if current["failed_dirs"]:
+            todo = spark.createDataFrame([(p,) for p in current["failed_dirs"]], "gav_path string")
     state.save(current | {"status": "running"}, path)
 
     def stop(*_):
@@ -84,9 +95,10 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
 
     for s in (signal.SIGINT, signal.SIGTERM):
         signal.signal(s, stop)
-    start, history = now(), store.Store(spark, os.path.join(home, "history"))
+    start = now()
     loaded = rules.load(config.rules_file or None, config.rules_level, config.rules_merge)
-    result = scan.scan_files(load_artifacts(spark, config, done, todo), loaded, carried=("group_id", "artifact_id", "version", "gav", "gav_path", "file_name"))
+    found, failed_dirs = load_artifacts(spark, config, done, todo)
+    result = scan.scan_files(found, loaded, carried=("group_id", "artifact_id", "version", "gav", "gav_path", "file_name"))
     result = scan.ScanResult(result.findings.persist(), result.results.persist())
     total = result.summary.first()
     if config.output == "json":
@@ -95,13 +107,21 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
     else:
         report.print_report(result.findings, total)
     history.save(*scan.history_rows(result, config.repo_url, now()))
-    status = {r.gav_path: r.status for r in result.results.select("gav_path", "status").toLocalIterator()}
-    failed = [{"path": p, "error": "", "retries": 1, "last_failed_at": now().isoformat()} for p, s in status.items() if s != "complete"]
-    current |= {
-        "status": "completed", "completed_artifacts": sorted({*current["completed_artifacts"], *(p for p, s in status.items() if s == "complete")}), "failed_artifacts": failed, "in_flight_artifacts": [],
-        "total_discovered": current["total_discovered"] + total.total_discovered, "total_scanned": current["total_scanned"] + total.total_scanned, "total_failed": len(failed),
-    }
-    state.save(current, path)
+    counts = {k: current[k] + total[k] for k in ("total_discovered", "total_scanned", "total_failed")}
+    state.save(current | counts | {"status": "completed", "failed_dirs": failed_dirs}, path)
+    return 0
+
+
+def run_stream(spark: SparkSession, config: Config, home: str) -> int:
+    """Scan what is new in a mirrored folder in micro-batches of ``checkpoint_interval`` files; a run
+    that was killed goes on after its last whole batch."""
+
+    def progress(number: int, result: scan.ScanResult) -> None:
+        total = result.summary.first()
+        print(f"batch {number}: {total.total_scanned} scanned, {total.total_failed} failed, {total.total_findings} findings")
+
+    history = store.Store(spark, os.path.join(home, "history"))
+    scan_stream(spark, config, history, os.path.join(home, "stream"), progress).awaitTermination()
     return 0
 
 
@@ -133,10 +153,6 @@ def run_task(args, config: Config, spark: SparkSession) -> int:
         row = [(rows.count() + 1, args.id, config.repo_url, config.group, json.dumps(config.snapshot()), config.interval, "active", f"{args.id}.json", now(), None, None, "", 0)]
         table.write(rows.unionByName(spark.createDataFrame(row, tasks.SCHEMA)))
     elif args.action == "list":
-        from pyspark.sql import functions as F
-
-        from siltstone.functions.scalars import interval_text
-
         tasks.listed(rows, args.status).select("task_id", "repo_url", "status", interval_text(F.col("scan_interval_sec")).alias("interval"), "next_run_at", "scan_count").show(1000, False)
     elif args.action in ("pause", "resume"):
         table.write(tasks.with_status(rows, args.id, {"pause": "paused", "resume": "active"}[args.action]))
@@ -176,7 +192,8 @@ def main(argv: list[str] | None = None) -> int:
             options.add_argument(flag, dest=f.name, action="store_true")
         else:
             options.add_argument(flag, dest=f.name, type=type(f.default), default=f.default)
-    commands.add_parser("scan", parents=[base, options])
+    s = commands.add_parser("scan", parents=[base, options])
+    s.add_argument("--stream", action="store_true", help="scan new files of a folder in micro-batches")
     t = commands.add_parser("task", parents=[base, options])
     t.add_argument("action", choices=["add", "list", "run", "pause", "resume", "delete"])
     t.add_argument("id", nargs="?", default="")
@@ -201,4 +218,6 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "history":
         return show_history(args, spark)
     config = Config(**{f.name: getattr(args, f.name) for f in fields(Config)})
-    return run_scan(spark, config, args.home) if args.command == "scan" else run_task(args, config, spark)
+    if args.command == "task":
+        return run_task(args, config, spark)
+    return (run_stream if args.stream else run_scan)(spark, config, args.home)
