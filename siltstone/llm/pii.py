@@ -41,8 +41,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PROPOSALS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?:\x20?(?:\(at\)|\[at\]|\{at\}|<at>)\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}+){1,5}+",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\])\x20?[0-9]{1,3}+){3}(?![0-9])",
+    "email": r"(?i)(?<![a-z0-9._%+-])(?:[a-z0-9_%+-]{1,32}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20)){0,3}[a-z0-9._%+-]{2,64}+(?:\x20?(?:\(at\)|\[at\]|\{at\}|<at>|@)\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?|\x20dot\x20)[a-z0-9-]{1,63}+){1,5}+",
+    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]|\.)\x20?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:00[1-9][0-9\x20().-]{6,18}[0-9]|\([0-9]{2,4}\)\x20?[0-9][0-9\x20.-]{4,11}[0-9]|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9])",
 }
@@ -129,7 +129,7 @@ def describe(kind: str, m: Column, before: Column, after: Column) -> Column:
         yes(after.rlike("^[A-Za-z0-9_/=-]")),
         yes(m.rlike("^(19|20)[0-9]{2}[^0-9]")),
         F.size(F.array_distinct(F.split(d, ""))).cast("double"),
-        yes(m.rlike(r"[A-Za-z0-9]\x20at\x20") & ~m.rlike(r"dot")),
+        yes(m.rlike(r"(?i)[a-z0-9]\x20at\x20") & ~m.rlike(r"(?i)dot")),
     )
 
 
@@ -169,12 +169,18 @@ def snippets(n: int = FIT_SNIPPETS, seed: int = 11) -> list[tuple[int, str, int,
         lead = ""
         if kind == 0:
             ends = r.choice(["com", "org", "net", "de", "fr", "es"])
-            style = r.choice(["b", "b", "w"]) if good else "p"
-            at, dot = {"b": (r.choice(["(at)", "[at]", " [at] ", " (at) "]), r.choice([".", "[dot]", " [dot] ", "(dot)"])), "w": (" at ", " dot "), "p": (" at ", ".")}[style]
-            span = word() + at + word() + dot + (ends if good else word().capitalize())
+            style = r.choice(["b", "b", "w", "s"]) if good else "p"
+            at, dot = {
+                "b": (r.choice(["(at)", "[at]", " [at] ", " (at) ", "@"]), r.choice(["[dot]", " [dot] ", "(dot)"] + ["."] * (r.random() < 0.5))), "w": (" at ", " dot "),
+                "s": (" @ ", r.choice([".", " . "])), "p": (" at ", r.choice([".", " dot "])),
+            }[style]
+            if at == "@" and dot == ".":
+                dot = "(dot)"
+            inner = r.choice(["", "", word() + (" dot " if style == "w" else dot if style == "b" and "dot" in dot else "_")])
+            span = inner * good + word() + at + word() + dot + (ends if good else word().capitalize() if dot == "." else word() + "x")
             lead = r.choice(["mail ", "contact ", "write to ", ""]) if good else ""
         elif kind == 1:
-            dot = r.choice(["[.]", "(.)", "[dot]", " (dot) "])
+            dot = r.choice(["[.]", "(.)", "[dot]", " (dot) ", " . "])
             top = 255 if good else 999
             parts = [r.randint(0, top) for _ in range(4)]
             if not good:
