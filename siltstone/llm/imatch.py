@@ -116,17 +116,18 @@ def with_next(docs: DataFrame, mark=None, rows_each: int = 2048, least: int = 51
     and a window inside the buckets do.
     """
     columns = ["text"] + ["fp"] * (mark is not None)
-    marked = docs if mark is None else mark(docs, "text", "fp")
     edges = common.quantile_edges(docs, "doc_id", rows_each, least, most)
     placed = docs.withColumn("_bucket", bucket(F.col("doc_id"), edges))
     heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
     down = Window.orderBy(F.col("_bucket").desc())
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = heads.select(F.col("_bucket").alias("_to"), F.coalesce(F.lead(F.struct("_head")).over(down), F.first(F.struct("_head")).over(whole))["_head"].alias("_id"))
-    # At most ``most`` + 1 rows of two numbers.
-    ghosts = marked.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("_to").alias("_bucket"), "doc_id", *columns, F.lit(1).alias("_ghost"))
-    placed = marked.withColumn("_bucket", bucket(F.col("doc_id"), edges))
-    rows = placed.select("_bucket", "doc_id", *columns, F.lit(0).alias("_ghost")).unionByName(ghosts)
+    # ``ends`` has at most ``most`` + 1 rows of two numbers.
+    both = placed.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own, copy = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("g"))
+    both = both.select("doc_id", "text", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("_at"))
+    rows = both.select("doc_id", "text", F.col("_at.b").alias("_bucket"), F.col("_at.g").alias("_ghost"))
+    rows = rows if mark is None else mark(rows, "text", "fp")
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "text")
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
     return rows.select("doc_id", "_ghost", *columns, *following).where("_ghost = 0").drop("_ghost")
