@@ -87,7 +87,7 @@ def classes(vectors: DataFrame, kind: str) -> DataFrame:
                 raws.append(raw)
             yield pa.RecordBatch.from_arrays([who, labels, pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "key", "raw"])
 
-    return vectors.mapInArrow(run, "vec_id long, label string, key binary, raw binary")
+    return vectors.mapInArrow(common.frugal(run), "vec_id long, label string, key binary, raw binary")
 
 
 def window_edges(items: DataFrame, kind: str, first: int, count: int, window: int, threshold: float) -> DataFrame:
@@ -142,9 +142,9 @@ def window_edges(items: DataFrame, kind: str, first: int, count: int, window: in
                 held = rows[-window:]
 
     by_hash = ["pass", "size", "label", "hash", "rep"]
-    spread = items.select("rep", "label", "raw").mapInArrow(hashed, "pass long, size long, rep long, label string, raw binary, hash long")
+    spread = items.select("rep", "label", "raw").mapInArrow(common.frugal(hashed), "pass long, size long, rep long, label string, raw binary, hash long")
     ordered = spread.repartitionByRange(*by_hash).sortWithinPartitions(*by_hash)
-    return ordered.select("pass", "size", "rep", "label", "raw").mapInArrow(compare, "a long, b long")
+    return ordered.select("pass", "size", "rep", "label", "raw").mapInArrow(common.frugal(compare), "a long, b long")
 
 
 def link_counts(members: DataFrame, kind: str, threshold: float, tile: int = TILE) -> DataFrame:
@@ -186,10 +186,10 @@ def link_counts(members: DataFrame, kind: str, threshold: float, tile: int = TIL
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(n, pa.int64())], names=["rep", "links"])
 
     tiles = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "rep")
-    return tiles.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return tiles.mapInArrow(common.frugal(run), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 64, miss: float = 1e-3, at_once: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 64, miss: float = 1e-5, at_once: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label)."""
     kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
