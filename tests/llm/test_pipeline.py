@@ -76,9 +76,12 @@ def test_mix_stage(staged):
         low, high = (mid, high) if sum(min(3 * sizes[s], mid * weight[s]) for s in sizes) < sum(sizes.values()) else (low, mid)
     for s, rows in by_source.items():
         each = min(3 * sizes[s], low * weight[s]) / sizes[s]
-        shift = int(hashlib.md5(f"{s}/mix".encode()).hexdigest()[:12], 16) / 2**48
-        for i, r in enumerate(sorted(rows, key=lambda r: (size(r), r.doc_id))):
-            assert after[r] == min(3, math.floor((i + 1) * each + shift) - math.floor(i * each + shift)) or min(abs(x * each + shift - round(x * each + shift)) for x in (i, i + 1)) < 1e-6
+        ordered = sorted(rows, key=lambda r: (size(r), r.doc_id))
+        count = lambda i, u: min(3, math.floor((i + 1) * each + u) - math.floor(i * each + u))
+        draws = [int(hashlib.md5(f"{s}/mix{j}".encode()).hexdigest()[:12], 16) / 2**48 for j in range(16)]
+        shift = min(draws, key=lambda u: abs(sum(count(i, u) * size(r) for i, r in enumerate(ordered)) - each * sizes[s]))
+        for i, r in enumerate(ordered):
+            assert after[r] == count(i, shift) or min(abs(x * each + shift - round(x * each + shift)) for x in (i, i + 1)) < 1e-6
 
 
 def test_pack_stage(staged):
