@@ -77,36 +77,68 @@ def export(findings: DataFrame, records: DataFrame) -> DataFrame:
 
 
 class Store:
-    """The two tables in a folder. A change is written beside the table and then takes its place as the
-    next version, so readers see the old rows or the new ones; the last two versions are kept."""
+    """The two tables in a folder, kept as a log of batches.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    A save writes its rows as the next batch, so it costs what the batch holds and not what the
+    history holds. Readers take the last batch of every record and the findings that came with it. A
+    batch counts once its records are committed, which is after its findings are; saving the same
+    rows again (a batch replayed after a failure) changes nothing that is read. ``compact`` merges
+    the log into one base batch and is run every ``merge_every`` saves.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge_every: int = 16) -> None:
+        self.spark, self.path, self.merge_every = spark, path.rstrip("/"), merge_every
+        self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
-    def _versions(self, table: str) -> list[int]:
-        root = self._p(f"{self.path}/{table}")
+    def _batches(self) -> list[tuple[int, str]]:
+        """(number, folder) of the committed batches that count: the last base and what follows it."""
+        root = self._p(f"{self.path}/records")
         if not self._fs.exists(root):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._p(f"{self.path}/{table}/{n}/_SUCCESS")))
+        found = sorted((int(n.split("-")[1]), n.startswith("base"), n) for n in names if "-" in n and self._fs.exists(self._p(f"{self.path}/records/{n}/_SUCCESS")))
+        start = max((i for i, (_, base, _) in enumerate(found) if base), default=0)
+        return [(number, name) for number, _, name in found[start:]]
+
+    def _all(self, table: str) -> DataFrame:
+        schema = {"records": RECORDS, "findings": FINDINGS}[table] + ", batch long"
+        paths = [f"{self.path}/{table}/{name}" for _, name in self._batches()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _current(self) -> DataFrame:
+        w = Window.partitionBy(*KEY).orderBy(F.desc("batch"), F.desc_nulls_last("scan_time"))
+        return self._all("records").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
     def read(self, table: str) -> DataFrame:
-        schema = {"records": RECORDS, "findings": FINDINGS}[table]
-        versions = self._versions(table)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+        """``records`` or ``findings`` as they stand."""
+        if table == "records":
+            return self._current().drop("batch")
+        last = self._current().select(F.col("id").alias("record_id"), "batch")
+        return self._all("findings").join(last, ["record_id", "batch"], "left_semi").drop("batch").select(*[c.split()[0] for c in FINDINGS.split(", ")])
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        versions = self._versions(table)
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/v{(versions or [0])[-1] + 1}")
-        for old in versions[:-1]:
-            self._fs.delete(self._p(f"{self.path}/{table}/v{old}"), True)
+    def _write(self, name: str, number: int, records: DataFrame, findings: DataFrame) -> None:
+        for table, rows in (("findings", findings), ("records", records)):
+            columns = [c.split()[0] for c in {"records": RECORDS, "findings": FINDINGS}[table].split(", ")]
+            rows.select(*columns, F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/{table}/{name}")
 
     def save(self, records: DataFrame, findings: DataFrame) -> None:
-        """Upsert records and replace their findings. Saving the same rows again changes nothing."""
-        records = records.withColumn("id", record_id())
-        self.write("findings", replace_findings(self.read("findings"), findings, records))
-        self.write("records", upsert(self.read("records"), records))
+        """Upsert records and replace their findings."""
+        batches = self._batches()
+        number = (batches or [(0, "")])[-1][0] + 1
+        self._write(f"batch-{number:08d}", number, latest(records.withColumn("id", record_id())), findings)
+        if len(batches) >= self.merge_every:
+            self.compact()
+
+    def compact(self) -> None:
+        """One base batch in place of all batches so far."""
+        batches = self._batches()
+        if len(batches) < 2:
+            return
+        number = batches[-1][0]
+        self._write(f"base-{number:08d}", number, self.read("records"), self.read("findings"))
+        for _, name in batches:
+            for table in ("records", "findings"):
+                self._fs.delete(self._p(f"{self.path}/{table}/{name}"), True)

@@ -164,6 +164,22 @@ def test_scan_repository_and_history(spark, mirror, tmp_path):
     assert {r.file_name for r in one.results.collect()} == {"lib-1.0-sources.jar", "lib-2.0.jar", "x-1.war"}
 
 
+def test_store_log_and_compaction(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "h"), merge_every=3)
+    record = "group_id string, artifact_id string, version string, repo_url string, status string, findings_count long, scan_time timestamp, duration_ms long, error string, rule_matches array<string>, file_hash string"
+    assert s.read("records").count() == 0 and s.read("findings").count() == 0
+    for n in range(6):  # two records by turns, each time with other findings
+        rec = spark.createDataFrame([("g", f"a{n % 2}", "1", "r", "complete", 1, NOW, None, None, ["x"], None)], record)
+        ids = rec.withColumn("record_id", store.record_id())
+        found = ids.selectExpr(f"{n} as id", "record_id", f"'rule{n}' as rule_id", "'' as rule_name", "'LOW' as severity", "'f' as file_path", "1 as line_number", "'' as line_content", "'' as match")
+        s.save(rec, found)
+        if n == 3:
+            s.save(rec, found)  # replayed
+        want = {"rule0"} if n == 0 else {f"rule{n}", f"rule{n - 1}"}
+        assert {r.rule_id for r in s.read("findings").collect()} == want and s.read("records").count() == len(want)
+    assert len(s._batches()) <= 4 and any(name.startswith("base") for _, name in s._batches())
+
+
 def test_failures_are_rows(spark, tmp_path):
     (tmp_path / "g/a/1").mkdir(parents=True)
     (tmp_path / "g/a/1/bad.jar").write_bytes(b"?")
