@@ -26,6 +26,8 @@ from math import exp
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -343,4 +345,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars", "n_blocks"],
             )
 
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long")
+    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(common.frugal(run), "page_id long, url string, text string, n_chars long, n_blocks long")

@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
         return merge
 
     texts = docs.select("doc_id", "text")
-    packed = common.materialize(texts.mapInArrow(first, PIECES), "packed")
+    packed = common.materialize(texts.mapInArrow(common.frugal(first), PIECES), "packed")
     results, rest, level = [packed.where("ids is null")], packed.where("ids is not null"), 0
     while True:
         level += 1
@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
         last = top < fan_in
         grouped = rest.withColumn("part", F.expr(f"part div {fan_in}"))
         ordered = grouped.repartition("part").sortWithinPartitions("part", "doc_id", "start", "ids")
-        rest = common.materialize(ordered.mapInArrow(merging(level, last), PIECES), "leftovers")
+        rest = common.materialize(ordered.mapInArrow(common.frugal(merging(level, last)), PIECES), "leftovers")
         results.append(rest.where("ids is null"))
         rest = rest.where("ids is not null")
         if last:

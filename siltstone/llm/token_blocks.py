@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    files = ordered.mapInArrow(segments, "data binary").select(F.col("data").cast("string").alias("value"))
+    files = ordered.mapInArrow(common.frugal(segments), "data binary").select(F.col("data").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -210,7 +210,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "segment", "place", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(documents, "part long, segment long, place long, doc_id long, first long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(common.frugal(documents), "part long, segment long, place long, doc_id long, first long, n_tokens long, ids_crc32 long")
 
 
 def token_index(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:
