@@ -61,5 +61,5 @@ def corpus_sql(text_type: str) -> str:
 
 def secret_lines(customer: DataFrame) -> DataFrame:
     """(k, group_id, artifact_id, version, file_path, line, line_number)."""
-    customer.createOrReplaceTempView("customer")
-    return customer.sparkSession.sql(corpus_sql("string")).withColumn("line_number", F.lit(1))
+    sql = corpus_sql("string").replace("FROM customer", "FROM {customer}")
+    return customer.sparkSession.sql(sql, customer=customer).withColumn("line_number", F.lit(1))
