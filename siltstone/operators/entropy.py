@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -26,14 +27,18 @@ def in_charset(text: Column, charset: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character, 0 for the empty text, rounded to 9 places so that ties are ties."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.length(text)
 
     def add(total: Column, c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
         return total - p * F.log2(p)
 
-    return F.round(F.aggregate(F.array_distinct(chars), F.lit(0.0), add), 9)
+    return F.round(F.aggregate(distinct(text), F.lit(0.0), add), 9)
+
+
+def distinct(text: Column) -> Column:
+    """The characters of a text, each once."""
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
 
 
 def windows(token: Column, width: int) -> Column:
@@ -50,13 +55,17 @@ def entropy_matches(line: Column, cfg: Entropy, bounds: Callable[[Column], Colum
     """array<struct<value, entropy>>: for each token of a line its window of most entropy (the first
     of equals), if it reaches the threshold; entropy is rounded to three places."""
 
+    # k different characters have log2(k) bits at most, so with fewer than this nothing is computed.
+    least = math.ceil(2 ** (cfg.threshold - 1e-6))
+    rich = lambda t: F.size(distinct(t)) >= least
+
     def best(token: Column) -> Column:
         whole = F.array(F.struct(F.lit(1).alias("at"), token.alias("win")))
         tried = F.when(F.octet_length(token) <= cfg.window, whole).otherwise(windows(token, cfg.window))
-        fit = F.filter(tried, lambda w: in_charset(w["win"], cfg.charset))
+        fit = F.filter(tried, lambda w: in_charset(w["win"], cfg.charset) & rich(w["win"]))
         scored = F.transform(fit, lambda w: F.struct(entropy(w["win"]).alias("h"), (-w["at"]).alias("first"), w["win"].alias("win")))
         return F.array_max(scored)
 
-    long = F.filter(tokens(line), lambda t: (F.octet_length(t) >= cfg.min_length) & bounds(t))
+    long = F.filter(tokens(line), lambda t: (F.octet_length(t) >= cfg.min_length) & bounds(t) & rich(t))
     found = F.filter(F.transform(long, best), lambda b: b.isNotNull() & (b["h"] >= cfg.threshold) & (b["h"] > 0))
     return F.transform(found, lambda b: F.struct(b["win"].alias("value"), F.round(b["h"], 3).alias("entropy")))
