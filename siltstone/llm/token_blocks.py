@@ -41,8 +41,14 @@ MAGIC = b"PFB1"
 SEGMENT_IDS = 1 << 20
 
 
+#: Bit lengths of the values below 2**16, which nearly all distances are.
+SHORT_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs; 0 for 0."""
+    if values.size and values.max() < len(SHORT_BITS):
+        return SHORT_BITS[values]
     return np.frexp(values.astype(np.float64))[1].astype(np.int8)
 
 
