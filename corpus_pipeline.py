@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import common, mixing, packing, pii, quality, queries, simhash
+from siltstone.llm import common, jaccard, mixing, packing, pii, quality, queries
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
-    return simhash.deduplicated(common.pick(docs, *COLUMNS))
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more): the one with the smallest id."""
+    return jaccard.deduplicated(common.pick(docs, *COLUMNS))
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,8 +144,4 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     without a doc_id are kept.
     """
     kept = groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id", "left_semi")
-    # The join leaves the rows dealt and sorted by doc_id, so this aggregate needs no exchange of its own.
-    once = named.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
-    nameless = docs.where("doc_id is null").select(F.struct("*").alias("row"))
-    return once.select("row").unionByName(nameless).select("row.*")
+    return common.one_each(docs, kept)
