@@ -1,13 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Vectors are compared only within a label (and a length). Each pass hashes every distinct vector to
-the signs of its products with random directions, sorts lexicographically by them, and verifies by
-cosine the pairs inside a bounded window of neighbours; verified pairs of all passes are united
-(inside a task only a spanning forest of them leaves). The number of passes follows from the size of
-the largest label, so that a pair at the very threshold is missed with probability ``miss`` at most,
-at every size. Pairs that a window can't hold, in groups denser than the window, are found exactly:
-all distinct vectors of a component are compared in square tiles of bounded size, which also
-gives each vector its number of links; only counts leave a tile.
+"""Near-duplicate vectors by exact comparison inside cells.
+
+Vectors are compared only within a label (and a length). A label is one cell, in which every pair is
+compared, unless it is so large that several passes over smaller cells cost less: then each pass hashes
+every distinct vector to the signs of its products with random directions, and the vectors that agree
+on the first k signs are a cell. How full the cells of each k are is counted on the label's own vectors,
+so k is small where they crowd, and a crowded label is compared whole. The number of passes follows from k alone:
+a pair at the very threshold shares no cell with probability ``miss`` at most, however the vectors lie.
+Cells are compared in square tiles of bounded size; inside a task only a spanning forest of the links
+leaves. All distinct vectors of a component are compared in tiles once more, which gives each vector
+its number of links; only counts leave a tile.
 
 Equal vectors are one class from the start, so copies neither fill windows nor make pairs.
 
@@ -32,17 +33,19 @@ from . import common
 from .components import connected_components
 
 BITS = 48
+#: The most signs that name a cell.
+MOST_BITS = 40
 TILE = 128
+CHUNK = 1024
 
 
-def passes_for(n: int, window: int, threshold: float, miss: float) -> int:
-    """Passes after which a pair at the threshold has shared a window but for probability ``miss``.
+def passes_for(k: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair at the threshold has shared a cell but for probability ``miss``.
 
-    It shares one if the first log2(n / window) signs agree, each with probability 1 - angle / pi.
+    It shares one if ``k`` signs agree, each with probability 1 - angle / pi.
     """
-    agree = 1 - math.acos(threshold) / math.pi
-    per_pass = agree ** max(1.0, math.log2(max(2, n) / window))
-    return max(4, math.ceil(math.log(miss) / math.log1p(-per_pass)))
+    agree = (1 - math.acos(threshold) / math.pi) ** k
+    return math.ceil(math.log(miss) / math.log1p(-agree)) if k else 1
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -90,61 +93,122 @@ def classes(vectors: DataFrame, kind: str) -> DataFrame:
     return vectors.mapInArrow(common.frugal(run), "vec_id long, label string, key binary, raw binary")
 
 
-def window_edges(items: DataFrame, kind: str, first: int, count: int, window: int, threshold: float) -> DataFrame:
-    """(a, b): spanning edges of the links that ``count`` passes find in their windows.
+def signs(x: np.ndarray, turn: int) -> np.ndarray:
+    """The signs of pass ``turn`` as numbers of ``BITS`` bits, the first sign highest."""
+    along = np.random.default_rng([turn, x.shape[1]]).standard_normal((x.shape[1], BITS))
+    return ((x @ along) > 0) @ (1 << np.arange(BITS, dtype=np.int64))[::-1]
 
-    One exchange: copies of the vectors by ranges of (pass, length, label, hash).
-    """
+
+def plan(items: DataFrame, kind: str, copy: int, threshold: float, miss: float) -> DataFrame:
+    """(label, size, k, passes) of each label and length: the cells with the least expected work, in
+    comparisons; sending a vector to a cell counts as ``copy`` of them."""
+    groups = items.groupBy("label", F.octet_length("raw").alias("size")).agg(F.count("*").alias("n"))
+    limit = 2 * copy * passes_for(1, threshold, miss)  # below it no pass pays
+    if (groups.agg(F.max("n")).first()[0] or 0) <= limit:
+        return groups.select("label", "size", F.lit(0).alias("k"), F.lit(1).alias("passes"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = (1 << np.arange(BITS, dtype=np.int64))[::-1]
         for batch in batches:
             raw = batch.column(2).to_pylist()
             size = np.array([len(r) for r in raw])
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                x = unit([raw[i] for i in rows], kind)
                 part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs(unit([raw[i] for i in rows], kind), 0))], names=["label", "size", "hash"])
+
+    large = common.small(groups.where(F.col("n") > limit))
+    seen = items.withColumn("size", F.octet_length("raw")).join(large, ["label", "size"]).select("label", "size", "raw")
+    seen = seen.mapInArrow(common.frugal(hashed), "label string, size int, hash long")
+    cells = seen.select("label", "size", "hash", F.explode(F.sequence(F.lit(1), F.lit(MOST_BITS))).alias("k"))
+    cells = cells.groupBy("label", "size", "k", F.expr(f"shiftright(hash, {BITS} - k)").alias("prefix")).agg(F.count("*").cast("double").alias("m"))
+    full = cells.groupBy("label", "size", "k").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    times = F.array(*[F.lit(passes_for(k, threshold, miss)) for k in range(MOST_BITS + 1)])
+    full = full.withColumn("cost", F.get(times, F.col("k")) * (copy * F.col("n") + F.col("pairs") / 2))
+    best = full.groupBy("label", "size").agg(F.min(F.struct("cost", "k")).alias("best"))
+    whole = F.col("n").cast("double") * F.col("n") / 2
+    out = groups.join(best, ["label", "size"], "left").withColumn("k", F.when(F.col("best.cost") < whole, F.col("best.k")).otherwise(0))
+    return out.select("label", "size", "k", F.get(times, F.col("k")).alias("passes"))
+
+
+def spanning(hits: np.ndarray, one: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a tile; rows come before columns unless both are the same."""
+    found = []
+    skip = 0 if one else len(hits)
+    rows, columns = hits.any(axis=1), hits.any(axis=0)  # not reached yet
+    if one:
+        columns = rows
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        rows[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            across, new, shift = (hits[at], columns, skip) if at < len(hits) else (hits[:, at - skip], rows, 0)
+            near = np.flatnonzero(across & new)
+            new[near] = False
+            found += [(at, j + shift) for j in near.tolist()]
+            todo += (near + shift).tolist()
+    return found
+
+
+def cell_edges(items: DataFrame, kind: str, first: int, count: int, threshold: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): spanning edges of the links inside the cells of ``count`` passes.
+
+    A cell of m vectors is dealt to chunks of ``chunk``; every two meet in one tile, as does every one with itself.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            shape = np.array([(len(r), k) for r, k in zip(raw, batch.column(3).to_pylist(), strict=True)]).reshape(-1, 2)
+            passes = batch.column(4).to_numpy()
+            for n, k in np.unique(shape, axis=0).tolist():
+                own = np.flatnonzero((shape == (n, k)).all(axis=1))
                 for p in range(first, first + count):
-                    along = np.random.default_rng([p, x.shape[1]]).standard_normal((x.shape[1], BITS))
-                    key = ((x @ along) > 0) @ turn
+                    rows = own[passes[own] > p]
+                    if not len(rows):
+                        continue
+                    prefix = signs(unit([raw[i] for i in rows], kind), p) >> (BITS - k) if k else np.zeros(len(rows), np.int64)
+                    part = batch.select([0, 1, 2]).take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), p)), pa.array(np.full(len(rows), n)), *part.columns, pa.array(key)],
-                        names=["pass", "size", "rep", "label", "raw", "hash"],
+                        [pa.array(np.full(len(rows), p)), pa.array(np.full(len(rows), n)), *part.columns, pa.array(prefix)],
+                        names=["pass", "size", "rep", "label", "raw", "prefix"],
                     )
 
+    def edges(group: list[tuple]) -> list[tuple[int, int]]:
+        one = group[0][4] == group[0][5]
+        left, right = ([g for g in group if g[6] == group[0][k]] for k in (4, 5))
+        if not left or not right:
+            return []
+        hits = unit([g[8] for g in left], kind) @ unit([g[8] for g in right], kind).T >= threshold
+        if one:
+            np.fill_diagonal(hits, False)
+        names = [g[7] for g in (left if one else left + right)]
+        return [(names[a], names[b]) for a, b in spanning(hits, one)]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the window's last rows
+        group: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                new = list(zip(*(part.column(i).to_pylist() for i in range(5)), strict=True))
-                rows, old = held + new, len(held)
-                found: list[np.ndarray] = []
-                groups = [r[0:2] + r[3:4] for r in rows]
-                start = 0
-                while start < len(rows):
-                    stop = start + 1
-                    while stop < len(rows) and groups[stop] == groups[start]:
-                        stop += 1
-                    if stop > old and stop - start > 1:
-                        x = unit([r[4] for r in rows[start:stop]], kind)
-                        for lo in range(max(0, old - start), len(x), 256):
-                            hi, far = min(lo + 256, len(x)), max(0, lo - window)
-                            i, j = np.nonzero(x[lo:hi] @ x[far:hi].T >= threshold)
-                            i, j = i + lo, j + far
-                            near = (j < i) & (i - j <= window)
-                            found.append(np.stack([i[near] + start, j[near] + start], axis=1))
-                    start = stop
-                pairs = forest(np.concatenate(found), len(rows)) if found else []
-                ends = [(rows[a][2], rows[b][2]) for a, b in pairs]
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                held = rows[-window:]
-
-    by_hash = ["pass", "size", "label", "hash", "rep"]
-    spread = items.select("rep", "label", "raw").mapInArrow(common.frugal(hashed), "pass long, size long, rep long, label string, raw binary, hash long")
-    ordered = spread.repartitionByRange(*by_hash).sortWithinPartitions(*by_hash)
-    return ordered.select("pass", "size", "rep", "label", "raw").mapInArrow(common.frugal(compare), "a long, b long")
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:6] != group[0][:6]:
+                    found += edges(group)
+                    group = []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = edges(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    cell = ["pass", "size", "label", "prefix"]
+    spread = items.select("rep", "label", "raw", "k", "passes").mapInArrow(common.frugal(hashed), "pass long, size long, rep long, label string, raw binary, prefix long")
+    large = common.small(spread.groupBy(*cell).agg(F.count("*").alias("m")).where(F.col("m") > chunk))
+    rows = spread.join(large, cell, "left").withColumn("chunks", F.coalesce(F.ceil(F.col("m") / chunk), F.lit(1)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = [*cell, "lo", "hi"]
+    rows = rows.select(*cell, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep", "raw")
+    return rows.repartition(*tile).sortWithinPartitions(*tile, "rep").mapInArrow(common.frugal(compare), "a long, b long")
 
 
 def link_counts(members: DataFrame, kind: str, threshold: float, tile: int = TILE) -> DataFrame:
@@ -190,17 +254,21 @@ def link_counts(members: DataFrame, kind: str, threshold: float, tile: int = TIL
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 64, miss: float = 1e-5, at_once: int = 8) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label).
+
+    One more copy of a vector is taken to cost as much as 16 * ``window`` comparisons.
+    """
     kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     rows = common.materialize(classes(plain, kind), "vectors")
     items = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("label").alias("label"), F.min("raw").alias("raw"))
     items = common.materialize(items, "classes")
-    largest = items.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, window, threshold, miss)
+    plans = common.materialize(plan(items, kind, 16 * window, threshold, miss), "plan")
+    passes = plans.agg(F.max("passes")).first()[0] or 1
+    dealt = items.withColumn("size", F.octet_length("raw")).join(common.small(plans), ["label", "size"])
     edges = None
     for first in range(0, passes, at_once):  # a few passes at a time bound the disk that copies take
-        some = common.materialize(window_edges(items, kind, first, min(at_once, passes - first), window, threshold), "links")
+        some = common.materialize(cell_edges(dealt, kind, first, min(at_once, passes - first), threshold), "links")
         edges = some if edges is None else edges.unionByName(some)
     merged = common.materialize(connected_components(edges), "components")
     members = items.join(merged, F.col("rep") == F.col("node")).select("component", "rep", "copies", "raw")

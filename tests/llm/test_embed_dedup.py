@@ -65,3 +65,47 @@ def test_edges(spark):
     found = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(frame).collect()}
     assert found == {(1, 3, 1, True), (2, 3, 1, False), (12, 3, 1, False), (None, 0, None, False)} | {(i, 0, i, True) for i in range(3, 12)}
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def dense_label(n=3000, d=32, mean=0.85, seed=9):
+    """Vectors of one label around a common direction, with planted pairs close to the threshold."""
+    rng = np.random.default_rng(seed)
+    away = lambda k: (x := rng.normal(size=(k, d - 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = lambda a: np.c_[np.full(len(a), mean**0.5), (1 - mean) ** 0.5 * a]
+    first = away(100)
+    near = first + 0.85 * away(100)
+    x = np.r_[turn(away(n)), turn(first), turn(near / np.linalg.norm(near, axis=1, keepdims=True))].astype("<f4")
+    return x[rng.permutation(len(x))]
+
+
+def check_dense(spark, x, **options):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = u @ u.T >= 0.93
+    np.fill_diagonal(hits, False)
+    root = np.arange(len(x))
+    for a, b in zip(*np.nonzero(hits), strict=True):
+        if root[a] != root[b]:
+            root[root == max(root[a], root[b])] = min(root[a], root[b])
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame, **options).collect()}
+    assert hits.sum() >= 100
+    assert found == {i: (int(n), int(root[i])) for i, n in enumerate(hits.sum(axis=1))}
+
+
+def test_dense_label(spark):
+    check_dense(spark, dense_label())
+
+
+def test_cells_of_a_label_too_large_to_compare_whole(spark):
+    x = np.r_[dense_label(n=1200, mean=0.3), dense_label(n=1200, mean=0.0, seed=10)]
+    classes = spark.createDataFrame([(i, "1", bytearray(v.tobytes())) for i, v in enumerate(x)], "rep long, label string, raw binary")
+    chosen = embed_dedup.plan(classes, "<f4", 0, 0.93, 1e-5).collect()
+    assert len(chosen) == 1 and chosen[0].passes == embed_dedup.passes_for(chosen[0].k, 0.93, 1e-5)
+    for k in (2, 5):  # cells of several tiles and small ones
+        dealt = classes.selectExpr("*", f"{k} k", f"{embed_dedup.passes_for(k, 0.93, 1e-5)} passes")
+        found = embed_dedup.cell_edges(dealt, "<f4", 0, embed_dedup.passes_for(k, 0.93, 1e-5), 0.93, chunk=200)
+        pairs = {tuple(sorted((r.a, r.b))) for r in found.collect()}
+        u = embed_dedup.unit([v.tobytes() for v in x], "<f4")
+        hits = np.argwhere(np.triu(u @ u.T >= 0.93, 1))
+        want = set(map(tuple, hits.tolist()))
+        assert pairs <= want and len(embed_dedup.forest(np.array(sorted(pairs)), len(x))) == len(embed_dedup.forest(hits, len(x)))
