@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 from xxhash import xxh64_intdigest
 
 from siltstone.llm import queries, simhash
@@ -92,3 +93,10 @@ def test_components(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(found) == len(root) and all(find(r.node) == r.component for r in found)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, most_rounds=2).count()
+    assert {r.component for r in connected_components(edges).collect()} == {0}
