@@ -72,9 +72,14 @@ def predict(forest: Forest, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(forest.slope * raw(forest, x) + forest.shift)))
 
 
+def set_aside(n: int) -> np.ndarray:
+    """Which of ``n`` rows serve calibration only."""
+    return np.arange(n) % 5 == 4
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, depth: int = 2) -> Forest:
     """Boost on four fifths of the rows and calibrate the score (Platt's curve) on the others."""
-    aside = np.arange(len(y)) % 5 == 4
+    aside = set_aside(len(y))
     xt, yt = x[~aside], y[~aside]
     bias = math.log((yt.sum() + 1) / (len(yt) - yt.sum() + 1))
     score, trees, cuts = np.full(len(yt), bias), [], _cuts(xt)

@@ -111,6 +111,27 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running(values: Column, op, chunk: int = 128) -> Column:
+    """array<int>, one longer than ``values``: the running total, from 0, of an associative ``op``.
+
+    Chunks are totalled first, then the totals, then the values within each chunk: growing one array
+    by one value at a time would copy it every time.
+    """
+
+    def along(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+
+    def whole(v: Column) -> Column:
+        ks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / chunk).cast("int") - 1, F.lit(0)))
+        part = lambda k: F.slice(v, k * chunk + 1, chunk)
+        totals = F.transform(ks, lambda k: F.aggregate(part(k), F.lit(0), op))
+        inside = lambda starts: F.flatten(F.transform(ks, lambda k: F.slice(along(part(k), F.get(starts, k)), 2, chunk)))
+        long = let(along(totals, F.lit(0)), lambda starts: F.concat(F.array(F.lit(0)), inside(starts)))
+        return F.when(F.size(v) <= chunk, along(v, F.lit(0))).otherwise(long)
+
+    return let(values, whole)
+
+
 def quantile_edges(rows: DataFrame, column: str, rows_each: int = 2048, least: int = 512, most: int = 1 << 16) -> list:
     """Approximate quantiles of a column that split it into about ``rows_each`` rows apiece."""
     parts = min(most, max(least, rows.count() // rows_each))
