@@ -1,17 +1,19 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text by its block-level elements. A log-linear classifier gives each
-block a score from its words, links and the elements around it; the score becomes the capacity to
-one terminal (content) or the other (boilerplate). Smoothness edges join blocks that follow one
-another and blocks that share a parent, with capacities that fall with the distance in the element
-tree. The minimum cut labels the blocks: maximum flow runs on those that their own capacity doesn't
-settle already (a block whose terminal outweighs all its edges keeps its side in every minimum cut).
+A page is cut into blocks of text by its block-level elements. A logistic classifier, fitted on made-up
+pages (``html_training``), gives each block log-odds from its length, links and the elements around it;
+they become the capacity to one terminal (content) or the other (boilerplate). Smoothness edges join
+blocks that follow one another and blocks that share a parent, with capacities that fall with the
+distance in the element tree. The minimum cut labels the blocks: maximum flow runs on those that their
+own capacity doesn't settle (a block whose terminal outweighs all its edges keeps its side in every
+minimum cut).
 
 Character references are decoded, white space inside a block (line breaks included) becomes one
 space, blocks are trimmed and joined by line feeds in page order.
 
 Edge cases: null html is empty; a page without blocks or with boilerplate only gives the empty text;
-unclosed elements, comments, scripts and tags end with the page; repeated rows and null ids are
+unclosed elements, comments, scripts and tags end with the page (a button, list of choices, picture or
+embedded object that is never closed or closes itself holds nothing); repeated rows and null ids are
 kept; an empty table gives no rows.
 """
 
@@ -21,12 +23,12 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
-from math import exp
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, html_training
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -45,8 +47,10 @@ BLOCK = frozenset(
     "table tbody td template tfoot th thead title tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never looked at.
-SILENT = frozenset("script style title textarea template noscript select button svg math object iframe canvas audio video datalist".split())
+#: Elements that hold characters, not markup, up to their end tag; none of it is text of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements whose text counts as set apart.
+SILENT = frozenset("template noscript select button svg object canvas audio video datalist".split())
 #: Elements, and words in class, id and role, that speak against the text inside.
 APART = frozenset("nav footer aside form menu dialog search".split())
 APART_WORDS = frozenset(
@@ -66,22 +70,21 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCE = frozenset("ul ol dl table select body html div article section main aside nav footer header form".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-#: Weights of the classifier.
-BIAS, WORD, SENTENCE, LINKS, INSIDE, OUTSIDE, SLIGHT, RIGHTS, HEADING = -0.6, 0.12, 0.8, -5.0, 3.0, -16.0, -2.5, -4.0, 0.5
 #: Smoothness of neighbours and of siblings.
 NEAR, SIBLING = 1.5, 0.75
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "apart", "main", "slight")
+    __slots__ = ("tag", "parent", "depth", "apart", "worded", "main", "slight")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         inside = parent.main if parent else False
         apart, slight = parent.apart if parent else False, parent.slight if parent else False
+        worded = parent.worded if parent else False
         main = inside
-        if tag in APART or (tag == "header" and not inside):
+        if tag in APART or tag in SILENT or (tag == "header" and not inside):
             apart = True
         elif tag in MAIN:
             main = True
@@ -90,14 +93,14 @@ class Element:
                 words = {w.lower() for w in WORDS.findall(a or b or c)}
                 against = words & APART_WORDS
                 if against - WEAK_WORDS or (against and not words & MAIN_WORDS and not (inside and "header" in against)):
-                    apart = True
+                    worded = True
                 elif words & SLIGHT_WORDS:
                     slight = True
                 elif words & MAIN_WORDS:
                     main = True
             if "hidden" in attributes or "display" in attributes:
                 apart = apart or bool(HIDDEN.search(attributes))
-        self.apart, self.main, self.slight = apart, main, slight
+        self.apart, self.worded, self.main, self.slight = apart, worded, main, slight
 
 
 def blocks_of(html: str) -> list[tuple[str, Element, float]]:
@@ -109,6 +112,7 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
     linked: list[str] = []
     links = at = 0
     opened: Counter[str] = Counter()
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -140,9 +144,12 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
             if stack[i].tag in fence:
                 return
 
-    for m in TAG.finditer(html):
-        if m.start() < at:
-            continue
+    def never_closed(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", html, re.I)), default=-1)
+        return last_end[tag] < at
+
+    while m := TAG.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
             parts.append(piece)
@@ -166,13 +173,16 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
                     break
             continue
         attributes = m[3] if m[2] else m[6]
-        if tag in SILENT:
+        if tag in RAW:
             if tag in BLOCK:
                 flush()
-            if not (attributes.endswith("/") and tag in ("svg", "math")):
-                end = re.compile(f"</{tag}\\b[^>]*+(?:>|\\Z)", re.I).search(html, at)
-                at = end.end() if end else len(html)
+            end = re.compile(f"</{tag}\\b[^>]*+(?:>|\\Z)", re.I).search(html, at)
+            at = end.end() if end else len(html)
             continue
+        if tag in SILENT:
+            flush()
+            if attributes.endswith("/") or never_closed(tag):
+                continue
         if tag in BLOCK:
             flush()
             close(("p",), FENCE)
@@ -194,23 +204,26 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
     return found
 
 
-def score(text: str, home: Element, links: float) -> float:
-    """Log-odds that a block is content."""
+FEATURES = (
+    "bias", "length", "one_word", "sentence", "linked", "all_linked", "heading", "item", "main", "apart", "worded", "slight", "rights", "plain_sentence", "linked_outside", "apart_inside", "rights_inside",
+)
+
+
+def features(text: str, home: Element, links: float) -> tuple[float, ...]:
+    """Numbers of ``FEATURES`` for a block."""
     words = text.count(" ") + 1
-    s = BIAS + WORD * min(words, 40) + LINKS * links
-    if text[-1] in ".!?…。»\"”" or ". " in text:
-        s += SENTENCE
-    if home.tag in HEADINGS:
-        s += HEADING
-    if home.main:
-        s += INSIDE
-    if home.apart:
-        s += OUTSIDE
-    if home.slight:
-        s += SLIGHT
-    if "©" in text or (words < 30 and "rights reserved" in text.lower()):
-        s += RIGHTS
-    return s
+    sentence = text[-1] in ".!?…。»\"”" or ". " in text
+    away = home.apart or home.worded
+    rights = "©" in text or (words < 30 and "rights reserved" in text.lower())
+    return (
+        1.0, log(words), words == 1, sentence, links, links > 0.9, home.tag in HEADINGS, home.tag in ("li", "dd", "dt", "td", "th"), home.main, home.apart, home.worded, home.slight, rights,
+        sentence and not home.main and not away, links * (not home.main), home.main and away, rights and home.main,
+    )
+
+
+def score(text: str, home: Element, links: float, weights: tuple[float, ...]) -> float:
+    """Log-odds that a block is content."""
+    return sum(w * x for w, x in zip(weights, features(text, home, links), strict=True))
 
 
 def distance(a: Element, b: Element) -> int:
@@ -253,18 +266,15 @@ def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> lis
             around[b][a] = around[b].get(a, 0.0) + c
     side: list[bool | None] = [None] * n
     need = list(scores)
-    # Nodes that outweigh their edges are settled and pull their neighbours with fixed force.
-    todo = list(range(n))
-    while todo:
-        i = todo.pop()
-        if side[i] is None and abs(need[i]) >= sum(around[i].values()):
-            side[i] = need[i] > 0
-            for j, c in around[i].items():
+    # Nodes that outweigh their edges keep their side in every minimum cut: they pull their neighbours with fixed force.
+    firm = [i for i in range(n) if abs(scores[i]) >= sum(around[i].values())]
+    for i in firm:
+        side[i] = scores[i] > 0
+    for i in firm:
+        for j, c in around[i].items():
+            if side[j] is None:
                 need[j] += c if side[i] else -c
                 del around[j][i]
-                if side[j] is None:
-                    todo.append(j)
-            around[i] = {}
     free = [i for i in range(n) if side[i] is None]
     if free:
         kept = max_flow(free, need, around)
@@ -319,24 +329,26 @@ def max_flow(nodes: list[int], need: list[float], around: list[dict[int, float]]
                     level[u] = -1
 
 
-def main_text(html: str | None) -> tuple[str, int]:
+def main_text(html: str | None, weights: tuple[float, ...] | None = None) -> tuple[str, int]:
     """The main text of one page and how many blocks it came from."""
+    weights = weights or html_training.weights()
     found = blocks_of(html) if html else []
     if not found:
         return "", 0
-    kept = minimum_cut([score(*b) for b in found], edges_of([b[1] for b in found]))
+    kept = minimum_cut([score(*b, weights) for b in found], edges_of([b[1] for b in found]))
     texts = [b[0] for b, k in zip(found, kept, strict=True) if k]
     return "\n".join(texts), len(texts)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks per row of (page_id, url, html). No exchange."""
+    weights = html_training.weights()  # fitted here, so that tasks only carry the numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
             for value in batch.column(2):
-                text, n = main_text(value.as_py())
+                text, n = main_text(value.as_py(), weights)
                 texts.append(text)
                 counts.append(n)
             size = [len(t) for t in texts]
