@@ -10,8 +10,8 @@ from the level where it is largest (with at least ``LEAST`` such subsets, else o
 
 The lexicon is bounded: each of its terms is in at least ``exp(-idf_high)`` of the documents, so
 there are at most ``exp(idf_high)`` times the mean number of distinct terms. It is handed to the
-tasks as a Bloom filter of 32 bits a term (two probes): less than one term in two hundred outside
-the band gets in besides, the same ones for every text.
+tasks as a table of term hashes in buckets, and a Bloom filter of 32 bits a term (two probes) that spares
+most other terms the look into the table; the band is kept exactly.
 
 Edge cases: null text is empty text; a text with fewer than ``FEW`` terms in the lexicon keeps all its
 terms; a text without terms has the empty fingerprint, like only to itself; repeated rows follow one
@@ -50,13 +50,36 @@ def lexicon(docs: DataFrame, idf_low: float, idf_high: float) -> DataFrame:
 def bloom(lex: DataFrame) -> tuple[DataFrame, int]:
     """One row with the filter's bits as an array of longs, and the number of bits."""
     lex = common.materialize(lex, "lexicon")
-    bits = 1 << max(10, math.ceil(math.log2(32 * max(1, lex.count()))))
+    return common.materialize(bits_of(lex, bits := filter_size(lex.count())), "bloom"), bits
+
+
+def filter_size(n: int) -> int:
+    return 1 << max(10, math.ceil(math.log2(32 * max(1, n))))
+
+
+def bits_of(lex: DataFrame, bits: int) -> DataFrame:
     places = lex.select(F.explode(F.array(*probes(F.col("h"), bits))).alias("at"))
     words = places.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
     every = lex.sparkSession.range(bits >> 6).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
     whole = words.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
-    row = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
-    return common.materialize(row, "bloom"), bits
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
+
+
+def lookup(lex: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row with the struct ``lex`` of the filter's ``bits`` and the ``table`` of hashes by bucket; the
+    numbers of bits and of buckets (about four hashes each)."""
+    lex = common.materialize(lex, "lexicon")
+    n = lex.count()
+    bits, buckets = filter_size(n), 1 << max(0, math.ceil(math.log2(max(1, n) / 4)))
+    dealt = lex.select(place(F.col("h"), buckets).alias("w"), "h").groupBy("w").agg(F.collect_list("h").alias("hs"))
+    every = lex.sparkSession.range(buckets).select(F.col("id").alias("w"), F.array().cast("array<long>").alias("hs"))
+    whole = dealt.unionByName(every).groupBy("w").agg(F.flatten(F.collect_list("hs")).alias("hs"))
+    table = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "hs"))), lambda x: x["hs"]).alias("table"))
+    return common.materialize(bits_of(lex, bits).crossJoin(table).select(F.struct("bits", "table").alias("lex")), "lookup"), bits, buckets
+
+
+def place(h: Column, buckets: int) -> Column:
+    return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(buckets - 1))
 
 
 def probes(h: Column, bits: int) -> list[Column]:
@@ -64,28 +87,29 @@ def probes(h: Column, bits: int) -> list[Column]:
     return [F.shiftrightunsigned(h, 40).bitwiseXOR(h).bitwiseAND(mask), F.shiftrightunsigned(h, 17).bitwiseXOR(F.shiftrightunsigned(h, 43)).bitwiseAND(mask)]
 
 
-def fingerprint(text: Column, bitmap: Column, bits: int) -> Column:
+def fingerprint(text: Column, lex: Column, bits: int, buckets: int) -> Column:
     """array<int>: one 24-bit hash for each subset of each level, 0 where a text has no term."""
 
     def known(h: Column) -> Column:
-        tests = [F.getbit(F.get(bitmap, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in probes(h, bits)]
-        return tests[0] & tests[1]
+        tests = [F.getbit(F.get(lex["bits"], F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in probes(h, bits)]
+        return tests[0] & tests[1] & F.array_contains(F.get(lex["table"], place(h, buckets).cast("int")), h)
 
     def chosen(every: Column) -> Column:
         return let(F.filter(every, known), lambda kept: F.array_sort(F.when(F.size(kept) < FEW, every).otherwise(kept)))
 
-    def level(kept: Column, width: int, place: int, subsets: int) -> Column:
-        subset = lambda h: F.shiftrightunsigned(h, place).bitwiseAND(F.lit((1 << width) - 1))
-        pool = F.filter(kept, lambda h: subset(h) < subsets) if subsets < 1 << width else kept
-
-        def hashed(p: Column, k: Column) -> Column:
-            return let(
-                F.filter(p, lambda h: subset(h) == k),
-                lambda own: F.when(F.size(own) == 0, F.lit(0)).otherwise((F.pmod(F.xxhash64(own), F.lit((1 << 24) - 1)) + 1).cast("int")),
-            )
+    def hashed(own: Column) -> Column:
+        return F.when(F.size(own) == 0, F.lit(0)).otherwise((F.pmod(F.xxhash64(own), F.lit((1 << 24) - 1)) + 1).cast("int"))
 
-        ks = F.array(*[F.lit(k).cast("long") for k in range(subsets)])
-        return let(pool, lambda p: F.transform(ks, lambda k: hashed(p, k)))
+    def level(kept: Column, width: int, at: int, subsets: int) -> Column:
+        subset = lambda h: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1))
+        pool = F.filter(kept, lambda h: subset(h) < subsets) if subsets < 1 << width else kept
+        ks = lambda n: F.array(*[F.lit(k).cast("long") for k in range(n)])
+        part = lambda p, k: let(F.filter(p, lambda h: subset(h) == k), hashed)
+        if subsets < 1 << width or subsets == 4:
+            return let(pool, lambda p: F.transform(ks(subsets), lambda k: part(p, k)))
+        # A subset of every term: by quarters first, so a term is looked at 4 + subsets / 4 times, not once for every subset.
+        quarter = lambda p, q: F.filter(p, lambda h: F.shiftright(subset(h), 2) == q)
+        return let(pool, lambda p: F.flatten(F.transform(ks(subsets // 4), lambda q: let(quarter(p, q), lambda own: F.transform(ks(4), lambda k: part(own, q * 4 + k))))))
 
     return let(let(terms(text), chosen), lambda kept: F.concat(*[level(kept, *x) for x in LEVELS]))
 
@@ -141,12 +165,12 @@ def fingerprints(docs: DataFrame, idf_low: float = 2.3, idf_high: float = 7.6) -
     """Per row of (doc_id, text): n_chars, the fingerprint of the text and of its edited form, and
     their likenesses (see the query's contract)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    row, bits = bloom(lexicon(docs, idf_low, idf_high))
+    row, bits, buckets = lookup(lexicon(docs, idf_low, idf_high))
 
     def mark(rows: DataFrame, text: str, out: str) -> DataFrame:
-        # The filter enters as a scalar subquery that the optimizer moves into the expression below,
+        # The lexicon enters as a scalar subquery that the optimizer moves into the expression below,
         # where it is used once; it never is a column of rows that are copied.
-        return rows.select("*", row.scalar().alias("_bits")).select(*rows.columns, let(F.col("_bits"), lambda b: fingerprint(F.col(text), b, bits)).alias(out))
+        return rows.select("*", row.scalar().alias("_lex")).select(*rows.columns, let(F.col("_lex"), lambda lex: fingerprint(F.col(text), lex, bits, buckets)).alias(out))
 
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs, mark)
