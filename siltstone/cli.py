@@ -10,10 +10,12 @@ from __future__ import annotations
 import argparse
 import datetime
 import json
+import math
 import os
 import signal
 import sys
 import uuid
+from collections.abc import Iterator
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ from siltstone.functions.scalars import gav_path, interval_text, parse_size
 from siltstone.operators import rules, summary
 from siltstone.operators.listing import artifacts, first_per_key
 from siltstone.plans import report, scan, state, store, tasks
+from siltstone.scratch import scratch_path, written
 from siltstone.sources import http
 from siltstone.streaming.incremental import scan_stream
 
@@ -40,12 +43,12 @@ def now() -> datetime.datetime:
     return datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None, microsecond=0)
 
 
-def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None, todo: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """(artifacts with content, directories that failed), from a folder or over HTTP; what is ``done``
-    is left out, unless it lies in a ``todo`` directory."""
+def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None, todo: DataFrame | None) -> tuple[DataFrame, list[str], http.Options | None]:
+    """(artifacts, directories that failed, how to fetch), from a folder, with content, or over HTTP, with
+    url; what is ``done`` is left out, unless it lies in a ``todo`` directory."""
     failed: list[str] = []
-    remote = config.repo_url.startswith("http")
-    if not remote:
+    options = None
+    if not config.repo_url.startswith("http"):
         found = scan.discover(spark, config)
     else:
         options = http.Options(config.timeout, config.retries, config.qps, http_limit(config), header=config.auth_header, token=config.auth_token, user=config.auth_user, password=config.auth_pass)
@@ -57,9 +60,19 @@ def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None,
     if done is not None:
         left = done if todo is None else state.not_in(done, state.revisit(done, todo))
         found = state.not_in(found, left)
-    if remote:
-        found = http.fetch_all(found, options, config.download_concurrency or max(config.concurrency, 64)).where(F.col("content").isNotNull())
-    return found, failed
+    return found, failed, options
+
+
+def batches(found: DataFrame, config: Config, options: http.Options | None) -> Iterator[DataFrame]:
+    """The artifacts in batches of about ``checkpoint_interval`` files, all files of one set of coordinates in the same; those of a folder in one (``--stream`` takes a folder by batches)."""
+    if options is None:
+        yield found
+        return
+    n = found.count()
+    parts = max(1, math.ceil(n / config.checkpoint_interval)) if config.checkpoint_interval else 1
+    for i in range(parts if n else 0):
+        some = found.where(F.pmod(F.xxhash64("gav_path"), F.lit(parts)) == i)
+        yield http.fetch_all(some, options, config.download_concurrency or max(config.concurrency, 64))
 
 
 def http_limit(config: Config) -> int:
@@ -67,9 +80,10 @@ def http_limit(config: Config) -> int:
 
 
 def run_scan(spark: SparkSession, config: Config, home: str) -> int:
-    """Scan, report, and keep the results in the history.
+    """Scan in batches, keep each batch's results in the history as it ends, and report.
 
-    What is done is known from the history table, not from the state file, so resuming is an
+    A run that is killed loses the batch under way only. Failed downloads, oversize files and broken
+    containers are records with status failed, which ``retry_failed`` takes up again. What is done is known from the history table, not from the state file, so resuming is an
     anti-join however much has been scanned; the file holds options, counters and failed directories.
     """
     config.validate()
@@ -89,7 +103,7 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
             todo = spark.createDataFrame([(p,) for p in current["failed_dirs"]], "gav_path string")
     state.save(current | {"status": "running"}, path)
 
-    def stop(*_):
+    def stop(*_):  # finished batches are in the history already
         state.save(current | {"status": "interrupted"}, path)
         sys.exit(130)
 
@@ -97,18 +111,28 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
         signal.signal(s, stop)
     start = now()
     loaded = rules.load(config.rules_file or None, config.rules_level, config.rules_merge)
-    found, failed_dirs = load_artifacts(spark, config, done, todo)
-    result = scan.scan_files(found, loaded, carried=("group_id", "artifact_id", "version", "gav", "gav_path", "file_name"))
-    result = scan.ScanResult(result.findings.persist(), result.results.persist())
+    found, failed_dirs, options = load_artifacts(spark, config, done, todo)
+    if options is not None:
+        found = written(found, scratch_path(spark, "artifacts"))
+    before = {k: current[k] for k in ("total_discovered", "total_scanned", "total_failed")}
+    current |= {"failed_dirs": failed_dirs}
+    rows = scratch_path(spark, "scan-rows")
+    parts = []
+    for i, files in enumerate(batches(found, config, options)):
+        part = scan.scan_files(files, loaded, carried=scan.CARRIED, into=f"{rows}/{i:08d}")
+        history.save(*scan.history_rows(part, config.repo_url, now()))
+        parts.append(f"{rows}/{i:08d}")
+        done_now = summary.scan_totals(part.results).first()
+        current |= {k: current[k] + done_now[k] for k in before}
+        state.save(current | {"status": "running"}, path)
+    result = scan.result_of(spark.read.parquet(*parts) if parts else scan.scan_rows(found.limit(0).withColumn("content", F.lit(b"")), loaded, carried=scan.CARRIED), scan.CARRIED)
     total = result.summary.first()
     if config.output == "json":
         rows = report.details(result.findings).toLocalIterator()
         report.write_document(report.document(current["scan_id"], config.repo_url, config.concurrency, config.group, total, rows, start, now()), config.output_file or "-")
     else:
         report.print_report(result.findings, total)
-    history.save(*scan.history_rows(result, config.repo_url, now()))
-    counts = {k: current[k] + total[k] for k in ("total_discovered", "total_scanned", "total_failed")}
-    state.save(current | counts | {"status": "completed", "failed_dirs": failed_dirs}, path)
+    state.save(current | {"status": "completed"}, path)
     return 0
 
 

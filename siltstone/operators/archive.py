@@ -5,11 +5,12 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.scalars import base_name, extension
 
@@ -133,34 +134,65 @@ class Expander:
             self.errors.append(str(e))
 
 
+    def open(self, name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+        """Entries of a container or plain file. Plain files pass whatever they hold."""
+        ext = _ext(name)
+        if ext in NESTED:
+            return self.zip(io.BytesIO(content))
+        if ext == ".tar" or ext in (".gz", ".tgz"):
+            return self.tar(io.BytesIO(content), ext != ".tar")
+        return iter([(name.rsplit("/", 1)[-1], content)])
+
+
 def expand_bytes(name: str, content: bytes, limits: Limits = Limits()) -> tuple[list[tuple[str, bytes]], str | None]:
-    """(entries, error) of one container or plain file. Plain files pass whatever they hold."""
-    ext, walker = _ext(name), Expander(limits)
+    """(entries, error) of one container or plain file."""
+    walker = Expander(limits)
     try:
-        if ext in NESTED:
-            found = list(walker.zip(io.BytesIO(content)))
-        elif ext == ".tar" or ext in (".gz", ".tgz"):
-            found = list(walker.tar(io.BytesIO(content), ext != ".tar"))
-        else:
-            return [(name.rsplit("/", 1)[-1], content)], None
+        found = list(walker.open(name, content))
     except Exception as e:
         return [], f"{type(e).__name__}: {e}"
-    return found, "; ".join(walker.errors[:5]) or None
+    return found, "; ".join(walker.errors) or None
 
 
-def expand(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(container_path, entry_ord, file_path, text, error) of (path, content), as ``binaryFile`` reads
-    them. A container that fails, in part or whole, has a row with its error and no text."""
+#: Bytes of text that leave a task at once.
+SLICE = 8 << 20
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, error = expand_bytes(path, bytes(content or b""), limits)
-                out = [(path, i, name, data.decode("utf-8", "replace"), None) for i, (name, data) in enumerate(rows)]
-                if error:
-                    out.append((path, len(rows), None, None, error))
-                yield pd.DataFrame(out, columns=["container_path", "entry_ord", "file_path", "text", "error"]).astype({"entry_ord": "int32"})
+def expand(files: DataFrame, limits: Limits = Limits(), carried: Sequence[str] = (), markers: bool = False) -> DataFrame:
+    """(container_path, entry_ord, file_path, text, error, ``carried``) of (path, content), as ``binaryFile``
+    reads them. A container that fails, in part or whole, has a row with its error and no text, behind its
+    entries; with ``markers`` every container has one. A file that comes with an ``error`` isn't opened."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    given = F.col("error") if "error" in files.columns else F.lit(None)
+    source = files.select("path", "content", given.cast("string").alias("error"), *carried)
+    about = source.select(*carried).schema
+    schema = T.StructType([*T._parse_datatype_string("container_path string, entry_ord int, file_path string, text string, error string").fields, *about.fields])
+    wire = to_arrow_schema(schema)
 
-    return files.select("path", "content").mapInPandas(run, "container_path string, entry_ord int, file_path string, text string, error string")
+    def run(batches):
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(wire.names, r, strict=True)) for r in rows], schema=wire)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, content, error, *others = (c[i].as_py() for c in batch.columns)
+                walker, out, held, n = Expander(limits), [], 0, 0
+                if error is None:
+                    try:
+                        for name, data in walker.open(path, content or b""):
+                            out.append((path, n, name, data.decode("utf-8", "replace"), None, *others))
+                            n, held = n + 1, held + len(data)
+                            if held >= SLICE:
+                                yield packed(out)
+                                out, held = [], 0
+                        error = "; ".join(walker.errors) or None
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                if error or markers:
+                    out.append((path, n, None, None, error, *others))
+                if out:
+                    yield packed(out)
+
+    return source.mapInArrow(run, schema)

@@ -104,10 +104,11 @@ def any_rule_applies(files: DataFrame, rules: Sequence[Rule], path: str = "file_
     return with_gates(files, rules, path).where(F.exists("_gates", lambda g: g)).drop("_gates")
 
 
-def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None, gated: bool = True) -> DataFrame:
+def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None, gated: bool = True, keep_null: bool = False) -> DataFrame:
     """Findings of (file_path, line_number, line, ...): the columns of ``lines`` but the line, with
     rule_ord, pattern_ord, match_ord, rule_id, rule_name, severity, line_content, match, description,
-    engine_name and entropy. ``gated=False`` leaves file names out of account."""
+    engine_name and entropy. ``gated=False`` leaves file names out of account; with ``keep_null`` a row
+    without a line stays, as one without a finding."""
     rules = list(rules)
     kinds = list(dict.fromkeys(r.file_patterns for r in rules if r.enabled))
     ready = "_gates" in lines.columns
@@ -133,7 +134,9 @@ def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None,
         parts = [F.array().cast(MATCH)]
     every = F.concat(*parts) if len(parts) > 1 else parts[0]
     # The long s is the one letter whose lower case hides an ASCII letter from ``contains``.
-    rows = rows.withColumn("_low", F.lower(F.translate(line, "ſ", "s"))).withColumn("_found", F.explode(every))
+    rows = rows.withColumn("_low", F.lower(F.translate(line, "ſ", "s"))).withColumn("_found", (F.explode_outer if keep_null else F.explode)(every))
+    if keep_null:
+        rows = rows.where(F.col("_found").isNotNull() | line.isNull())
     about = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), F.lit(engine_of(r, engines)[0]).alias("engine")) for r in rules]) if rules else F.array().cast("array<struct<id:string,name:string,severity:string,description:string,engine:string>>")
     kept = [c for c in lines.columns if c not in ("line", "_gates")]
     rule = F.get(about, F.col("_found.rule_ord"))

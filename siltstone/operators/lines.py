@@ -17,10 +17,12 @@ def line_array(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(kept)
 
 
-def split_lines(files: DataFrame, text: str = "text") -> DataFrame:
-    """A row per line: the columns of ``files`` but the text, with line_number (from 1) and line."""
+def split_lines(files: DataFrame, text: str = "text", keep_null: bool = False) -> DataFrame:
+    """A row per line: the columns of ``files`` but the text, with line_number (from 1) and line. With
+    ``keep_null`` a file without a text has one row without a line."""
     others = [F.col(f"`{c}`") for c in files.columns if c != text]
-    rows = files.select(*others, F.posexplode(line_array(F.col(text))).alias("_at", "_line"))
+    every = F.coalesce(line_array(F.col(text)), F.array(F.lit(None).cast("string"))) if keep_null else line_array(F.col(text))
+    rows = files.select(*others, F.posexplode(every).alias("_at", "_line"))
     line = F.regexp_replace("_line", "\r\\z", "")
     return rows.withColumn("line_number", F.col("_at") + 1).withColumn("line", line).drop("_at", "_line")
 

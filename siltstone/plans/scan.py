@@ -13,18 +13,23 @@ from siltstone.functions.scalars import parse_size
 from siltstone.operators import rules as rule_sets
 from siltstone.operators.archive import Limits, expand
 from siltstone.operators.detect import any_rule_applies, detect, with_gates
-from siltstone.operators.lines import split_by_line_limit, split_lines
+from siltstone.operators.lines import MAX_LINE_BYTES, longest_line, split_by_line_limit, split_lines
 from siltstone.operators.listing import artifacts, first_per_key, under_group
 from siltstone.operators.rules import Rule
 from siltstone.operators.summary import rule_matches, summary
-from siltstone.sources.files import read_files, relative
+from siltstone.scratch import scratch_path, written
+from siltstone.sources.files import oversize_files, read_files, relative
 
 from . import state, store
 
 
+#: What findings and results carry along of an artifact.
+CARRIED = ("group_id", "artifact_id", "version", "gav", "gav_path", "file_name")
+
+
 @dataclass
 class ScanResult:
-    """Lazy results: findings, one row per artifact file, and the one-row summary."""
+    """Findings, one row per artifact file, and the one-row summary."""
 
     findings: DataFrame
     results: DataFrame
@@ -45,31 +50,49 @@ def scan_text(files: DataFrame, rules: Sequence[Rule], engines: dict | None = No
     return detect(lines, rules, engines), failed
 
 
-def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = ()) -> ScanResult:
+def scan_rows(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """The rows of one scan in one narrow pass: a row for each finding, and for each container one
+    without a finding that tells in ``_error`` why the container failed, if it did."""
+    entries = with_gates(expand(files, limits, carried, markers=True), rules)
+    marker = F.col("text").isNull()
+    entries = entries.where(marker | F.exists("_gates", lambda g: g))
+    # A container that gave no entry failed if it has an error; a plain file fails by an endless line,
+    # inside an archive such an entry is only left out.
+    long = F.coalesce(longest_line(F.col("text")) >= MAX_LINE_BYTES, F.lit(False))
+    plain = ~F.lower("container_path").rlike(r"\.(jar|war|ear|zip|tar|gz|tgz)\z")
+    entries = entries.withColumn("_error", F.when(marker & (F.col("entry_ord") == 0), F.col("error")).when(long & plain, F.lit("token too long")))
+    entries = entries.withColumn("text", F.when(~long, F.col("text"))).drop("error")
+    return detect(split_lines(entries, keep_null=True), rules, engines, keep_null=True)
+
+
+def result_of(rows: DataFrame, carried: Sequence[str] = ()) -> ScanResult:
+    """Findings and results from written rows of ``scan_rows``."""
+    findings = rows.where("rule_id is not null").drop("_error")
+    counts = rows.groupBy("container_path", *carried).agg(F.count("rule_id").alias("findings_count"), F.min("_error").alias("error"))
+    status = F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status")
+    return ScanResult(findings, counts.select("container_path", *carried, status, "error", "findings_count"))
+
+
+def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = (), into: str | None = None) -> ScanResult:
     """Scan (path, content, ...): containers are expanded, plain files scanned as they are.
 
-    Findings carry container_path and the ``carried`` columns; results have status, error and
-    findings_count of every file.
+    Files are read and expanded once, here: the rows of the scan go to a table (``into``, else the scratch
+    folder), and findings, results and summary come from it. Findings carry container_path and the
+    ``carried`` columns; results have status, error and findings_count of every file. A file that comes
+    with an ``error`` (a failed download) is a failed result.
     """
-    entries = expand(files, limits)
-    found, too_long = scan_text(entries.where("text is not null"), rules, engines)
-    about = files.select(F.col("path").alias("container_path"), *carried)
-    findings = found.join(about, "container_path") if carried else found
-    counts = findings.groupBy("container_path").agg(F.count("*").alias("_n"))
-    # A container whose expansion failed as a whole has its error as the only entry; a plain file
-    # with an endless line fails; inside an archive such an entry is only left out.
-    whole = entries.where("text is null and entry_ord = 0").select("container_path", "error")
-    plain = too_long.where(~F.lower("container_path").rlike(r"\.(jar|war|ear|zip|tar|gz|tgz)\z")).select("container_path", "error")
-    errors = whole.unionByName(plain).groupBy("container_path").agg(F.min("error").alias("error"))
-    results = about.join(counts, "container_path", "left").join(errors, "container_path", "left").select(
-        "container_path", *carried, F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"), "error", F.coalesce("_n", F.lit(0)).alias("findings_count")
-    )
-    return ScanResult(findings, results)
+    rows = written(scan_rows(files, rules, limits, engines, carried), into or scratch_path(files.sparkSession, "scan"))
+    return result_of(rows, carried)
 
 
 def discover(spark: SparkSession, config: Config) -> DataFrame:
-    """Artifacts of a mirrored repository folder, with their content (read only when it is used)."""
-    files = relative(read_files(spark, config.repo_url, parse_size(config.max_file_size)), config.repo_url, "rel_path")
+    """Artifacts of a mirrored repository folder, with their content (read only when it is used);
+    those over the size limit have an error instead."""
+    most = parse_size(config.max_file_size)
+    files = read_files(spark, config.repo_url, most).withColumn("error", F.lit(None).cast("string"))
+    if most:
+        files = files.unionByName(oversize_files(spark, config.repo_url, most))
+    files = relative(files, config.repo_url, "rel_path")
     rows = artifacts(under_group(files, config.group, "rel_path"), "rel_path", config.include_sources, config.skip_pom, config.exclude or None)
     return first_per_key(rows, "gav_path", "file_name") if config.one_file_per_gav else rows
 
@@ -83,7 +106,7 @@ def scan_repository(spark: SparkSession, config: Config, completed: DataFrame |
         found = state.not_in(found, completed)
     if config.scan_concurrency > 0:
         found = found.repartition(config.scan_concurrency)
-    return scan_files(found, rules, engines=engines, carried=("group_id", "artifact_id", "version", "gav", "gav_path", "file_name"))
+    return scan_files(found, rules, engines=engines, carried=CARRIED)
 
 
 def history_rows(result: ScanResult, repo_url: str, now) -> tuple[DataFrame, DataFrame]:

@@ -56,10 +56,10 @@ def recent(records: DataFrame, n: int = 20) -> DataFrame:
 
 
 def delete_older(records: DataFrame, findings: DataFrame, now, days: int, cascade: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Records not older than ``days`` and their findings; without ``cascade`` all findings stay, those
+    """Records not older than ``days``, or without a time, and their findings; without ``cascade`` all findings stay, those
     of deleted records too."""
     limit = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))
-    kept = records.where(F.col("scan_time") >= limit)
+    kept = records.where((F.col("scan_time") >= limit) | F.col("scan_time").isNull())
     left = findings.join(kept.select(F.col("id").alias("record_id")), "record_id", "left_semi").select(*findings.columns) if cascade else findings
     return kept, left
 

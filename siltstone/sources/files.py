@@ -18,6 +18,13 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = 0, suffixes: tup
     return files.where(F.col("length") <= max_bytes) if max_bytes > 0 else files
 
 
+def oversize_files(spark: SparkSession, root: str, max_bytes: int, suffixes: tuple[str, ...] = ARTIFACTS) -> DataFrame:
+    """The files over the limit, as ``read_files`` with an error in place of the content, which is not read."""
+    files = read_files(spark, root, 0, suffixes).where(F.col("length") > max_bytes)
+    error = F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(f" bytes, limit {max_bytes}"))
+    return files.select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), error.alias("error"))
+
+
 def relative(files: DataFrame, root: str, column: str = "rel_path") -> DataFrame:
     """Add the path below ``root``."""
     bare = root.removeprefix("file://").removeprefix("file:").rstrip("/")

@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from email.utils import parsedate_to_datetime
+from itertools import count
 from urllib.error import HTTPError as UrlHTTPError
 from urllib.request import Request, urlopen
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from siltstone.operators.listing import is_wanted, parse_listings
+from siltstone.scratch import scratch_path, written
 
 
 class HttpError(Exception):
@@ -163,18 +165,19 @@ def fetch_all(urls: DataFrame, options: Options, partitions: int, url: str = "ur
     return urls.repartition(partitions).mapInPandas(run, schema)
 
 
-def walk(spark: SparkSession, root: str, options: Options = Options(), partitions: int = 8, group: str = "", include_sources: bool = False, skip_pom: bool = False, strict: bool = True, most_levels: int = 32) -> tuple[DataFrame, DataFrame]:
+def walk(spark: SparkSession, root: str, options: Options = Options(), partitions: int = 8, group: str = "", include_sources: bool = False, skip_pom: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(files, failed directories) below ``root``: (path, url) and (path, url, error).
 
-    A root that can't be listed is an error; other directories that can't are reported.
+    A root that can't be listed is an error; other directories that can't are reported. Levels go on until
+    one is empty. Each level's pages are written to the scratch folder, so no page is fetched twice.
     """
     root = root.rstrip("/") + "/"
     start = group.strip(".").replace(".", "/")
     level = spark.createDataFrame([(start, root + (start + "/" if start else ""))], "path string, url string")
     files = spark.createDataFrame([], "path string, url string")
     failed = spark.createDataFrame([], "path string, url string, error string")
-    for depth in range(most_levels):
-        pages = fetch_all(level, options, partitions).persist()
+    for depth in count():
+        pages = written(fetch_all(level, options, partitions), scratch_path(spark, "pages"))
         bad = pages.where("error is not null").select("path", "url", "error")
         if depth == 0 and (e := bad.first()):
             raise OSError(f"can't list {root}: {e.error}")
@@ -217,6 +220,7 @@ class CursorWalk:
         self.root, self.options = root.rstrip("/") + "/", options
         self.stack = [list(f) for f in cursor] if cursor is not None else [["", 0]]
         self.failed: list[str] = []
+        self.errors: dict[str, str] = {}
         self.pages: dict[str, list] = {}
 
     def _children(self, path: str) -> list:
@@ -229,8 +233,9 @@ class CursorWalk:
             path, at = self.stack[-1]
             try:
                 children = self._children(path)
-            except Exception:
+            except Exception as e:
                 self.failed.append(path)
+                self.errors[path] = str(e)
                 self.stack.pop()
                 continue
             if at >= len(children):
@@ -247,9 +252,12 @@ class CursorWalk:
 
 
 class RepositoryReader(DataSourceReader):
+    """Reads (path, url). A directory that can't be listed is an error once the others have been read, or
+    with the option ``failures`` set to ``rows`` a row (path, null, error)."""
+
     def __init__(self, options: dict) -> None:
         self.root = options["path"].rstrip("/") + "/"
-        self.options = http_options(options)
+        self.options, self.as_rows = http_options(options), failures_as_rows(options)
 
     def partitions(self) -> list[Directory]:
         """One for each child of the root, besides the root's own files."""
@@ -257,36 +265,53 @@ class RepositoryReader(DataSourceReader):
         return [Directory("", self.root), *tops]
 
     def read(self, partition: Directory) -> Iterator[tuple]:
+        more = (None,) if self.as_rows else ()
         if not partition.path:
-            yield from ((name, url) for name, is_dir, url in list_page(self.root, self.options) if not is_dir)
+            yield from ((name, url, *more) for name, is_dir, url in list_page(self.root, self.options) if not is_dir)
             return
-        yield from ((f"{partition.path}/{p}", url) for p, url in CursorWalk(partition.url, self.options).files())
+        walk = CursorWalk(partition.url, self.options)
+        yield from ((f"{partition.path}/{p}", url, *more) for p, url in walk.files())
+        bad = [(f"{partition.path}/{p}".rstrip("/"), walk.errors[p]) for p in walk.failed]
+        if self.as_rows:
+            yield from ((p, None, e) for p, e in bad)
+        elif bad:
+            raise OSError(f"can't list {len(bad)} directories: " + "; ".join(f"{p} ({e})" for p, e in bad[:20]))
 
 
 class RepositoryStream(SimpleDataSourceStreamReader):
-    """Files in walk order; the offset is the walk's cursor, so a restart goes on where it stopped."""
+    """Files in walk order; the offset is the walk's cursor, so a restart goes on where it stopped.
+
+    Directories that can't be listed stay in the offset and are tried again when the walk is through.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.root, self.options = options["path"], http_options(options)
+        self.root, self.options, self.as_rows = options["path"], http_options(options), failures_as_rows(options)
         self.most = int(options.get("maxfilespertrigger", options.get("maxFilesPerTrigger", 50)))
 
     def initialOffset(self) -> dict:
-        return {"cursor": [["", 0]]}
+        return {"cursor": [["", 0]], "failed": []}
 
     def _take(self, start: dict, most: int | None, end: dict | None = None) -> tuple[list, dict]:
-        walk, rows = CursorWalk(self.root, self.options, start["cursor"]), []
+        before = start.get("failed", [])
+        cursor = start["cursor"] or [[p, 0] for p in reversed(before)]
+        waiting = before if start["cursor"] else []
+        walk, rows = CursorWalk(self.root, self.options, cursor), []
         for row in walk.files():
-            rows.append(row)
+            rows.append((*row, None) if self.as_rows else row)
             if (most and len(rows) >= most) or (end and walk.stack == end["cursor"]):
                 break
-        return rows, {"cursor": [list(f) for f in walk.stack]}
+        return rows, {"cursor": [list(f) for f in walk.stack], "failed": sorted({*waiting, *walk.failed})}
 
     def read(self, start: dict):
-        rows, end = self._take(start, self.most) if start["cursor"] else ([], start)
+        rows, end = self._take(start, self.most) if start["cursor"] or start.get("failed") else ([], start)
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._take(start, None, end)[0] if start["cursor"] else [])
+        return iter(self._take(start, None, end)[0] if start["cursor"] or start.get("failed") else [])
+
+
+def failures_as_rows(options: dict) -> bool:
+    return {k.lower(): v for k, v in options.items()}.get("failures", "raise") == "rows"
 
 
 class RepositorySource(DataSource):
@@ -297,7 +322,7 @@ class RepositorySource(DataSource):
         return "repository"
 
     def schema(self) -> str:
-        return "path string, url string"
+        return "path string, url string" + ", error string" * failures_as_rows(self.options)
 
     def reader(self, schema) -> RepositoryReader:
         return RepositoryReader(self.options)

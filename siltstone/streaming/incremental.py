@@ -17,10 +17,10 @@ from siltstone.config import Config
 from siltstone.functions.scalars import parse_size
 from siltstone.operators import rules as rule_sets
 from siltstone.operators.detect import detect
-from siltstone.operators.lines import split_lines
+from siltstone.operators.lines import split_by_line_limit, split_lines
 from siltstone.operators.listing import ARTIFACTS, artifacts, under_group
 from siltstone.operators.rules import Rule
-from siltstone.plans.scan import ScanResult, history_rows, scan_files
+from siltstone.plans.scan import CARRIED, ScanResult, history_rows, scan_files
 from siltstone.plans.store import Store
 from siltstone.sources.files import relative
 
@@ -40,11 +40,13 @@ def scan_stream(spark: SparkSession, config: Config, store: Store, checkpoint: s
         .option("pathGlobFilter", "*{" + ",".join(ARTIFACTS) + "}").option("maxFilesPerTrigger", max(1, config.checkpoint_interval)).load(config.repo_url)
     )
     if most := parse_size(config.max_file_size):
-        files = files.where(F.col("length") <= most)
+        large = F.col("length") > most
+        files = files.withColumn("error", F.when(large, F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(f" bytes, limit {most}"))))
+        files = files.withColumn("content", F.when(~large, F.col("content")))
 
     def batch(rows: DataFrame, number: int) -> None:
         found = artifacts(under_group(relative(rows, config.repo_url, "rel_path"), config.group, "rel_path"), "rel_path", config.include_sources, config.skip_pom, config.exclude or None)
-        result = scan_files(found, rules, engines=engines, carried=("group_id", "artifact_id", "version", "gav", "gav_path", "file_name"))
+        result = scan_files(found, rules, engines=engines, carried=CARRIED)
         now = found.sparkSession.sql("select current_timestamp()").first()[0]
         store.save(*history_rows(result, config.repo_url, now))
         if progress:
@@ -54,5 +56,6 @@ def scan_stream(spark: SparkSession, config: Config, store: Store, checkpoint: s
 
 
 def detect_stream(texts: DataFrame, rules: Sequence[Rule], engines: dict | None = None) -> DataFrame:
-    """Findings of a stream of (file_path, text): stateless, so any output mode and trigger will do."""
-    return detect(split_lines(texts), rules, engines)
+    """Findings of a stream of (file_path, text): stateless, so any output mode and trigger will do. Files
+    with an endless line are left out, as in a batch."""
+    return detect(split_lines(split_by_line_limit(texts)[0]), rules, engines)
