@@ -69,10 +69,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``, one for each id, and those without a doc_id."""
+    """The rows of ``docs`` whose doc_id is in ``kept``, one for each id and text, and those without a doc_id."""
     named = docs.where("doc_id is not null").select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id", "left_semi")
-    # The join leaves the rows dealt and sorted by doc_id, so this aggregate needs no exchange of its own.
-    once = named.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    # The join leaves the rows dealt by doc_id, so this aggregate needs no exchange of its own.
+    once = named.groupBy("doc_id", F.sha2(F.col("row.text"), 256).alias("_text")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     nameless = docs.where("doc_id is null").select(F.struct("*").alias("row"))
     return once.select("row").unionByName(nameless).select("row.*")
 

@@ -1,8 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
-A document is the set of its runs of ``words`` words. Candidates come from MinHash: documents that agree
-on one of ``BANDS`` bands of ``ROWS`` minima meet in a bucket, and stay together if 256 one-bit minima
-don't rule the similarity out. What candidates connect is then compared exactly, set by set, in tiles
+A document is the set of its runs of ``words`` words. Candidates come from SimHash, whose fingerprints over
+the same shingles link at two bits (``simhash.links``), and from MinHash, since most pairs at the threshold are more bits apart than
+a popcount grid can tell from chance: documents that agree on one of ``BANDS`` bands of ``ROWS`` minima meet
+in a bucket, and stay together if 256 one-bit minima don't rule the similarity out. What candidates connect is then compared exactly, set by set, in tiles
 of bounded size, so no link below the threshold is ever made and only components leave a task.
 
 A pair at the very threshold 0.8 meets in no bucket with probability (1 - 0.8**3)**20 = 6e-7 and is ruled
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import connected_components
 from .embed_dedup import forest
 
@@ -78,22 +79,25 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, signs, bands) of (doc_id, text); key stands for the set. No exchange."""
+    """(doc_id, key, signs, bands, fp) of (doc_id, text); key stands for the set, fp is the SimHash
+    fingerprint. No exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            keys, signs, bands = [], [], []
+            keys, signs, bands, prints = [], [], [], [np.empty(0, np.uint64)]
             for a, b in common.byte_slices(texts):
-                for text in texts.slice(a, b - a).to_pylist():
+                some = texts.slice(a, b - a).to_pylist()
+                prints.append(simhash.fingerprint_texts(some, words))
+                for text in some:
                     h = shingles(text, words)
                     s, m = sketch(h) if len(h) else (b"", [])
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     signs.append(s)
                     bands.append(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "signs", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "key", "signs", "bands", "fp"])
 
-    return docs.mapInArrow(common.frugal(run), "doc_id long, key binary, signs binary, bands array<long>")
+    return docs.mapInArrow(common.frugal(run), "doc_id long, key binary, signs binary, bands array<long>, fp long")
 
 
 def tree(signs: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -139,6 +143,15 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return met.repartition("band").sortWithinPartitions("band", "first").mapInArrow(common.frugal(run), "a long, b long")
 
 
+def alike(classes: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the classes ``first`` whose fingerprints are equal or linked."""
+    prints = common.materialize(classes.groupBy("fp").agg(F.min("first").alias("head")), "prints")
+    equal = classes.join(prints, "fp").select(F.col("head").alias("a"), F.col("first").alias("b"))
+    ends = simhash.links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
+    ends = ends.join(prints.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
+    return equal.where("a <> b").unionByName(ends.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
     """Index pairs (left, right), or pairs of left alone, of sets at least that similar."""
     both = left + (right or [])
@@ -205,9 +218,9 @@ def copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[Dat
     """((key, first), (node, component)): the sets with their smallest doc_id, and the components of
     those ids that are linked to another."""
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = sketches(source, words).groupBy("key").agg(F.min("doc_id").alias("first"), F.min("signs").alias("signs"), F.min("bands").alias("bands"))
+    rows = sketches(source, words).groupBy("key").agg(F.min("doc_id").alias("first"), F.min("signs").alias("signs"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     classes = common.materialize(rows, "classes")
-    met = common.materialize(connected_components(candidates(classes, threshold)), "met")
+    met = common.materialize(connected_components(candidates(classes, threshold).unionByName(alike(classes))), "met")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +240,7 @@ def copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[Dat
 def deduplicated(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component; every column is kept.
 
-    Rows with the same doc_id and rows without one are treated as in ``simhash.deduplicated``.
+    Repeated rows, rows with the same doc_id and rows without one are treated as in ``simhash.deduplicated``.
     """
     classes, merged = copies(docs, threshold, words)
     others = merged.where("node <> component").select(F.col("node").alias("first"))

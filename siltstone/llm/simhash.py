@@ -140,8 +140,8 @@ def groups(docs: DataFrame, distance: int = 2, words: int = 3, seed: int = 42) -
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their group, one for each; every column is kept.
 
-    Repeated rows with the same doc_id count as copies: the one with the smallest text stays. Rows
-    without a doc_id are kept.
+    Of rows with the same doc_id and text one stays; rows that share a doc_id but not the text share
+    its fate. Rows without a doc_id are kept.
     """
     kept = groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     return common.one_each(docs, kept)
