@@ -75,7 +75,8 @@ def lookup(lex: DataFrame) -> tuple[DataFrame, int, int]:
     every = lex.sparkSession.range(buckets).select(F.col("id").alias("w"), F.array().cast("array<long>").alias("hs"))
     whole = dealt.unionByName(every).groupBy("w").agg(F.flatten(F.collect_list("hs")).alias("hs"))
     table = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "hs"))), lambda x: x["hs"]).alias("table"))
-    return common.materialize(bits_of(lex, bits).crossJoin(table).select(F.struct("bits", "table").alias("lex")), "lookup"), bits, buckets
+    row = bits_of(lex, bits).select(F.struct("bits", table.scalar().alias("table")).alias("lex"))
+    return common.materialize(row, "lookup"), bits, buckets
 
 
 def place(h: Column, buckets: int) -> Column:
