@@ -649,3 +649,64 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_config_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("task_id"), F.to_json(F.struct((F.col("s_suppkey") % 90).alias("concurrency"), F.when(F.col("s_suppkey") % 2 == 0, "all").otherwise("core").alias("rules_level"))).alias("config"))
     return made.select("task_id", F.from_json("config", "concurrency long, rules_level string").alias("c")).select("task_id", "c.*")
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' ELSE 'complete' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'BadZipFile' ELSE '' END AS error, CAST(CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS findings_count FROM customer")
+def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed downloads and broken archives are failed results beside the others."""
+    k = F.col("c_custkey")
+    kind = k % 4
+    name = F.when(kind == 1, F.lit("x.jar")).otherwise(F.lit("app.properties"))
+    content = F.when(kind == 1, F.lit("no archive")).when(kind == 2, F.concat(F.lit("db.password="), F.md5(k.cast("string")))).when(kind == 3, F.lit("port=8080"))
+    files = table(spark, sf_dir, "customer").select(F.concat_ws("/", F.lit("/m"), k.cast("string"), name).alias("path"), content.cast("binary").alias("content"), F.when(kind == 0, F.lit("HTTP 503")).alias("error"))
+    found = scan.scan_files(files, rules.CORE).results
+    return found.select(F.split("container_path", "/")[2].cast("long").alias("k"), "status", F.coalesce(F.regexp_extract("error", "^[^:]*", 0), F.lit("")).alias("error"), "findings_count")
+
+
+@query("SELECT p_partkey AS k, CAST(least(p_size, 20) + 1 AS BIGINT) AS entries, p_size > 20 AS cut, 1 AS skipped FROM part")
+def archive_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jars of ``p_size`` + 2 small files, the second of which swells too much: at most 22 entries are read, the swollen one is skipped."""
+
+    def build(pdfs):
+        import pandas as pd
+
+        for pdf in pdfs:
+            made = []
+            for k, n in zip(pdf["p_partkey"], pdf["p_size"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("first.txt", "x")
+                    z.writestr("swollen.txt", "a" * 60_000)
+                    for i in range(int(n)):
+                        z.writestr(f"e{i}.txt", str(i))
+                made.append((f"/m/{k}.jar", out.getvalue()))
+            yield pd.DataFrame(made, columns=["path", "content"])
+
+    files = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(build, "path string, content binary")
+    rows = archive.expand(files, archive.Limits(entries=22))
+    read = rows.groupBy("container_path").agg(F.count("text").alias("entries"), F.max("error").alias("error"))
+    k = F.regexp_extract("container_path", "([0-9]+)[.]jar", 1).cast("long")
+    return read.select(k.alias("k"), "entries", F.col("error").contains("too many entries").alias("cut"), F.regexp_count("error", F.lit("skipped by size or ratio")).alias("skipped"))
+
+
+@query("SELECT o_custkey AS custkey, count(*) AS findings_count, max(o_orderkey) AS last_order, 'complete' AS status FROM orders GROUP BY o_custkey")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches through the history: of every record the second one's row and findings count."""
+    orders = table(spark, sf_dir, "orders")
+    keys = [F.lit("g").alias("group_id"), F.col("o_custkey").cast("string").alias("artifact_id"), F.lit("1").alias("version"), F.lit("r").alias("repo_url")]
+    history = store.Store(spark, scratch_path(spark, "history"))
+    for day, status in ((1, "failed"), (2, "complete")):
+        found = orders.select(*keys, "o_orderkey").withColumn("record_id", store.record_id())
+        records = found.groupBy(*store.KEY).agg(F.count("*").alias("findings_count"), F.max("o_orderkey").cast("string").alias("error"))
+        more = {"status": F.lit(status), "scan_time": F.lit(datetime.datetime(2024, 5, day)), "duration_ms": F.lit(0).cast("long"), "rule_matches": F.array().cast("array<string>"), "file_hash": F.lit("")}
+        texts = {c: F.lit("") for c in ("rule_id", "rule_name", "severity", "file_path", "line_content", "match")}
+        history.save(records.withColumns(more), found.withColumn("id", F.col("o_orderkey")).withColumns(texts).withColumn("line_number", F.lit(day)))
+    last = history.read("findings").groupBy("record_id").agg(F.count("*").alias("n"), F.min("line_number").alias("batch")).where("batch = 2")
+    rows = history.read("records").join(last, F.col("id") == F.col("record_id"))
+    return rows.select(F.col("artifact_id").cast("long").alias("custkey"), F.col("n").alias("findings_count"), F.col("error").cast("long").alias("last_order"), "status")
+
+
+@query("SELECT n_nationkey AS k, 'repo/' || lower(n_name) || '/' || n_regionkey AS joined FROM nation")
+def path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.lit("/repo/"), F.lower("n_name"), F.lit(""), F.concat(F.lit("//"), F.col("n_regionkey").cast("string"), F.lit("/"))]
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), scalars.join_path(*parts).alias("joined"))
