@@ -200,7 +200,7 @@ def show_history(args, spark: SparkSession) -> int:
     summary.by_severity(found).show()
     store.recent(recs, args.limit).drop("id", "file_hash").show(args.limit, False)
     if args.export:
-        report.write_document(report.export_json(store.export(found, recs)).first().json or "null", args.export)
+        report.write_export(store.export(found, recs), args.export)
     return 0
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.regex import to_java
 from siltstone.functions.scalars import base_name, gav, gav_path, group_to_path
 
+from .ranges import sums_before
+
 # The anchor form of a listing and the suffixes of artifact files.
 ANCHOR = r'<a\s+href="([^"]+)"[^>]*>([^<]+)</a>'
 ARTIFACTS = (".jar", ".war", ".ear", ".pom", ".xml")
@@ -95,6 +97,12 @@ def walk_order(rows: DataFrame, path: str = "path") -> DataFrame:
     return rows.orderBy(F.split(path, "/"))
 
 
+def walk_places(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Rows with their ``place``, from 1, in the order of ``walk_order``."""
+    ahead = sums_before(rows.withColumn("_parts", F.split(path, "/")), ("_parts",), F.lit(1).cast("long"), "_ahead")
+    return ahead.withColumn("place", F.col("_ahead") + 1).drop("_parts", "_ahead")
+
+
 def first_per_key(rows: DataFrame, key: str = "gav_path", order: str = "file_name") -> DataFrame:
     """One row per key: the first by ``order`` (one file for each set of coordinates)."""
     w = Window.partitionBy(key).orderBy(order)

@@ -342,8 +342,7 @@ def group_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES_SQL}, a AS (SELECT DISTINCT path FROM files) SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM a")
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listing.walk_order(repo_files(spark, sf_dir).select("path").distinct())
-    return rows.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("place"))
+    return listing.walk_places(repo_files(spark, sf_dir).select("path").distinct())
 
 
 @query(f"WITH {FILES_SQL}, a AS (SELECT {PARTS}, regexp_extract(path, '[^/]*$') AS file_name FROM files WHERE {ARTIFACT}) SELECT group_id, artifact_id, version, min(file_name) AS file_name FROM a GROUP BY ALL")
@@ -567,7 +566,8 @@ def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(sum(length(html)::BIGINT) // 1048576 AS BIGINT) AS mb, count(*) FILTER (strlen(html) <= 4096) AS small FROM pages")
 def cache_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select(F.length("html").cast("long").alias("length"), F.octet_length("html").alias("bytes"))
-    return rows.agg(F.expr("sum(length) div 1048576").alias("mb"), F.count_if(F.col("bytes") <= 4096).alias("small"))
+    small = state.usage(rows.where("bytes <= 4096")).select("files").scalar()
+    return state.usage(rows).select("mb", small.alias("small"))
 
 
 # Queries that SQL can't express; tests hold them against the same rows found without an archive.

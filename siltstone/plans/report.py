@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 from collections.abc import Iterable
 from datetime import datetime
@@ -66,9 +67,32 @@ def print_report(findings: DataFrame, summary_row, out=None) -> None:
     out.write(f"\n{line}\n{summary_text(summary_row)}\n{line}\n")
 
 
+EXPORTED = ("gav", "repo_url", "rule_id", "rule_name", "severity", "file_path", "line_number", "line_content", "match")
+
+
+def write_export(rows: DataFrame, path: str = "-") -> None:
+    """All findings as one JSON array, null if there are none, in the order of ``rows``. The driver
+    holds one partition's rows at a time; a file is there once it is whole."""
+
+    def put(out) -> None:
+        some = False
+        for r in rows.select(F.to_json(F.struct(*EXPORTED)).alias("json")).toLocalIterator():
+            out.write(("," if some else "[") + r.json)
+            some = True
+        out.write("]\n" if some else "null\n")
+
+    if path in ("", "-"):
+        put(sys.stdout)
+        return
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        put(f)
+    os.replace(f"{path}.tmp", path)
+
+
 def export_json(rows: DataFrame) -> DataFrame:
-    """One row with all findings as a JSON array, null if there are none."""
-    item = F.struct("gav", "repo_url", "rule_id", "rule_name", "severity", "file_path", "line_number", "line_content", "match")
+    """One row with all findings as a JSON array, null if there are none: built in one task, so for
+    results that fit there; ``write_export`` and ``write_rows`` are for others."""
+    item = F.struct(*EXPORTED)
     order = F.struct("severity", "group_id", "artifact_id", "version", "file_path", "line_number", "rule_id")
     packed = rows.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), item.alias("v")))).alias("all"))
     return packed.select(F.when(F.size("all") > 0, F.to_json(F.transform("all", lambda x: x["v"]))).alias("json"))

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.operators.ranges import sums_before
 
 VERSION = 1
 STATUSES = ("running", "completed", "interrupted", "finished")
 #: Options whose change makes results incomparable: compared if the state has them, and always.
-IF_SET = {"repo_url": "RepoURL", "group": "GroupFilter", "rules_level": "RulesLevel", "max_file_size": "MaxFileSize"}
-ALWAYS = {"rules_file": "RulesFile", "rules_merge": "RulesMerge", "include_sources": "IncludeSources", "skip_pom": "SkipPom"}
+IF_SET = ("repo_url", "group", "rules_level", "max_file_size")
+ALWAYS = ("rules_file", "rules_merge", "include_sources", "skip_pom")
 
 
 class StateError(ValueError):
@@ -66,12 +67,10 @@ def check_drift(state: dict, config: Config) -> None:
     """Refuse to go on with other options than the state's."""
     was, now = state.get("config_snapshot", {}), config.snapshot()
     empty = Config()
-    for key, name in IF_SET.items():
-        if was.get(key) and was[key] != now[key]:
-            raise StateError(f"state file {name} ({was[key]}) does not match current {name} ({now[key]})")
-    for key, name in ALWAYS.items():
-        if was.get(key, getattr(empty, key)) != now[key]:
-            raise StateError(f"state file {name} ({was.get(key)}) does not match current {name} ({now[key]})")
+    before = {key: was[key] for key in IF_SET if was.get(key)} | {key: was.get(key, getattr(empty, key)) for key in ALWAYS}
+    changed = [f"{key} was {old!r}, is now {now[key]!r}" for key, old in before.items() if old != now[key]]
+    if changed:
+        raise StateError("the interrupted scan had other options: " + "; ".join(changed))
 
 
 def estimate(state: dict) -> dict:
@@ -92,13 +91,14 @@ def pending(in_flight: DataFrame, failed_dirs: DataFrame, key: str = "gav_path")
 def revisit(rows: DataFrame, pending_dirs: DataFrame, key: str = "gav_path") -> DataFrame:
     """Rows in one of the pending directories or below it.
 
-    Every directory above a row is a candidate, so it is an equi-join, not a comparison of all pairs.
+    Every directory above a key is a candidate, so it is an equi-join, not a comparison of all pairs. Only
+    the distinct keys are exploded and shuffled for it; the rows meet the keys found once.
     """
     parts = F.split(key, "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    hits = rows.withColumn("_row", F.xxhash64(*[F.col(c) for c in rows.columns])).select("*", F.explode(F.array_distinct(ups)).alias("_dir"))
-    hit = hits.join(pending_dirs.select(F.col(key).alias("_dir")).distinct(), "_dir", "left_semi").select("_row").distinct()
-    return rows.withColumn("_row", F.xxhash64(*[F.col(c) for c in rows.columns])).join(hit, "_row", "left_semi").select(*rows.columns)
+    above = rows.select(key).distinct().select(key, F.explode(F.array_distinct(ups)).alias("_dir"))
+    hit = above.join(pending_dirs.select(F.col(key).alias("_dir")).distinct(), "_dir", "left_semi").select(key)
+    return rows.join(hit, key, "left_semi").select(*rows.columns)
 
 
 def retryable(failed: DataFrame, most: int = 3) -> DataFrame:
@@ -120,10 +120,11 @@ def mark_failed(failed: DataFrame, now: DataFrame, key: str = "gav_path") -> Dat
 
 def evict(files: DataFrame, limit_mb: int = 500) -> DataFrame:
     """Files to delete, oldest first, until the rest fits (sizes in whole MB): (path, mtime, length)."""
-    from pyspark.sql import Window
+    total = usage(files).select("mb").scalar()
+    gone = sums_before(files, ("mtime", "path"), F.expr("length div 1048576"), "_before")
+    return gone.where(total - F.col("_before") > limit_mb).drop("_before")
 
-    order = Window.orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)
-    mb = F.expr("length div 1048576")
-    total = files.agg(F.coalesce(F.expr("sum(length) div 1048576"), F.lit(0)).alias("t")).scalar()
-    gone = files.withColumn("_before", total - F.coalesce(F.sum(mb).over(order), F.lit(0)))
-    return gone.where(F.col("_before") > limit_mb).drop("_before")
+
+def usage(files: DataFrame) -> DataFrame:
+    """One row: the whole MB and the number of the files."""
+    return files.agg(F.coalesce(F.expr("sum(length) div 1048576"), F.lit(0)).alias("mb"), F.count("*").alias("files"))

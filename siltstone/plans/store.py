@@ -6,6 +6,10 @@ known without reading the table and findings can be written beside it.
 
 from __future__ import annotations
 
+import os
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,61 +88,116 @@ class Store:
     batch counts once its records are committed, which is after its findings are; saving the same
     rows again (a batch replayed after a failure) changes nothing that is read. ``compact`` merges
     the log into one base batch and is run every ``merge_every`` saves.
+
+    Several writers may save at once, on a file system that creates a file for one of them only: that
+    claims a number, and of two saves of a record the higher number counts. What lies below the lowest
+    number under way is merged. A writer that hasn't committed after ``claim_hours`` raises; the claim
+    of one that died holds merging up for twice as long. One process at a time merges. Merged batches
+    stay on disk until the next merge, for those who still read them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, merge_every: int = 16) -> None:
-        self.spark, self.path, self.merge_every = spark, path.rstrip("/"), merge_every
+    def __init__(self, spark: SparkSession, path: str, merge_every: int = 16, claim_hours: float = 24) -> None:
+        self.spark, self.path, self.merge_every, self.claim_hours = spark, path.rstrip("/"), merge_every, claim_hours
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
+    def _list(self, folder: str) -> list:
+        root = self._p(f"{self.path}/{folder}")
+        return list(self._fs.listStatus(root)) if self._fs.exists(root) else []
+
+    def _committed(self) -> list[tuple[int, bool, str]]:
+        """(number, whether it is a base, folder) of the committed batches in order."""
+        names = [s.getPath().getName() for s in self._list("records")]
+        return sorted((int(n.split("-")[1]), n.startswith("base"), n) for n in names if "-" in n and self._fs.exists(self._p(f"{self.path}/records/{n}/_SUCCESS")))
+
     def _batches(self) -> list[tuple[int, str]]:
         """(number, folder) of the committed batches that count: the last base and what follows it."""
-        root = self._p(f"{self.path}/records")
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        found = sorted((int(n.split("-")[1]), n.startswith("base"), n) for n in names if "-" in n and self._fs.exists(self._p(f"{self.path}/records/{n}/_SUCCESS")))
+        found = self._committed()
         start = max((i for i, (_, base, _) in enumerate(found) if base), default=0)
         return [(number, name) for number, _, name in found[start:]]
 
-    def _all(self, table: str) -> DataFrame:
+    def _create(self, claim) -> bool:
+        """Whether this call made the file."""
+        if self._fs.getScheme() == "file":  # Hadoop looks before it creates here, so two could succeed
+            self._fs.mkdirs(claim.getParent())
+            try:
+                os.close(os.open(self._fs.makeQualified(claim).toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            return self._fs.createNewFile(claim)
+        except Py4JJavaError:
+            if self._fs.exists(claim):
+                return False
+            raise
+
+    def _claim(self) -> int:
+        """A batch number that no other writer has or had."""
+        last = lambda: max((n for n, _, _ in self._committed()), default=0)
+        number = max([last()] + [int(s.getPath().getName()) for s in self._list("claims")]) + 1
+        while True:
+            claim = self._p(f"{self.path}/claims/{number:08d}")
+            if self._create(claim):
+                if number > last():
+                    return number
+                self._fs.delete(claim, False)  # of a batch merged since the look
+            number += 1
+
+    def _under_way(self) -> set[int]:
+        """Numbers claimed by writers that haven't committed and may still do so. A writer gives up after
+        ``claim_hours``; twice that leaves time for a commit begun before."""
+        oldest = (time.time() - 2 * 3600 * self.claim_hours) * 1000
+        live = {int(s.getPath().getName()) for s in self._list("claims") if s.getModificationTime() >= oldest}
+        return live - {n for n, _, _ in self._committed()}
+
+    def _all(self, table: str, names: list[str]) -> DataFrame:
         schema = {"records": RECORDS, "findings": FINDINGS}[table] + ", batch long"
-        paths = [f"{self.path}/{table}/{name}" for _, name in self._batches()]
+        paths = [f"{self.path}/{table}/{name}" for name in names]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _current(self) -> DataFrame:
+    def _current(self, names: list[str]) -> DataFrame:
         w = Window.partitionBy(*KEY).orderBy(F.desc("batch"), F.desc_nulls_last("scan_time"))
-        return self._all("records").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        return self._all("records", names).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
-    def read(self, table: str) -> DataFrame:
-        """``records`` or ``findings`` as they stand."""
+    def read(self, table: str, names: list[str] | None = None) -> DataFrame:
+        """``records`` or ``findings`` as they stand, or as the named batches give them."""
+        names = [name for _, name in self._batches()] if names is None else names
         if table == "records":
-            return self._current().drop("batch")
-        last = self._current().select(F.col("id").alias("record_id"), "batch")
-        return self._all("findings").join(last, ["record_id", "batch"], "left_semi").drop("batch").select(*[c.split()[0] for c in FINDINGS.split(", ")])
+            return self._current(names).drop("batch")
+        last = self._current(names).select(F.col("id").alias("record_id"), "batch")
+        return self._all("findings", names).join(last, ["record_id", "batch"], "left_semi").drop("batch").select(*[c.split()[0] for c in FINDINGS.split(", ")])
 
-    def _write(self, name: str, number: int, records: DataFrame, findings: DataFrame) -> None:
+    def _write(self, name: str, number: int, records: DataFrame, findings: DataFrame, until: float = float("inf")) -> None:
         for table, rows in (("findings", findings), ("records", records)):
+            if time.time() > until:
+                raise TimeoutError(f"batch {number} took longer than its claim holds")
             columns = [c.split()[0] for c in {"records": RECORDS, "findings": FINDINGS}[table].split(", ")]
             rows.select(*columns, F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/{table}/{name}")
 
     def save(self, records: DataFrame, findings: DataFrame) -> None:
         """Upsert records and replace their findings."""
-        batches = self._batches()
-        number = (batches or [(0, "")])[-1][0] + 1
-        self._write(f"batch-{number:08d}", number, latest(records.withColumn("id", record_id())), findings)
-        if len(batches) >= self.merge_every:
+        until, number = time.time() + 3600 * self.claim_hours, self._claim()
+        self._write(f"batch-{number:08d}", number, latest(records.withColumn("id", record_id())), findings, until)
+        if len(self._batches()) > self.merge_every:
             self.compact()
 
     def compact(self) -> None:
-        """One base batch in place of all batches so far."""
-        batches = self._batches()
+        """One base batch in place of the batches below every number under way; those that the last
+        merge replaced are deleted."""
+        batches = self._batches()  # before the claims, so that no claim below the last batch is missed
+        limit = min(self._under_way(), default=None)
+        batches = [(n, name) for n, name in batches if limit is None or n < limit]
         if len(batches) < 2:
             return
-        number = batches[-1][0]
-        self._write(f"base-{number:08d}", number, self.read("records"), self.read("findings"))
-        for _, name in batches:
+        number, names = batches[-1][0], [name for _, name in batches]
+        replaced = [name for _, _, name in self._committed() if name not in names and int(name.split("-")[1]) <= batches[0][0]]
+        self._write(f"base-{number:08d}", number, self.read("records", names), self.read("findings", names))
+        for name in replaced:
             for table in ("records", "findings"):
                 self._fs.delete(self._p(f"{self.path}/{table}/{name}"), True)
+        for claim in self._list("claims"):
+            if int(claim.getPath().getName()) < number:
+                self._fs.delete(claim.getPath(), False)
