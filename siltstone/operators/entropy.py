@@ -27,18 +27,27 @@ def in_charset(text: Column, charset: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character, 0 for the empty text, rounded to 9 places so that ties are ties."""
-    n = F.length(text)
+    return _bits(F.length(text), repeats(text))
 
-    def add(total: Column, c: Column) -> Column:
-        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
-        return total - p * F.log2(p)
 
-    return F.round(F.aggregate(distinct(text), F.lit(0.0), add), 9)
+def _bits(n: Column, repeated: Column) -> Column:
+    """log2(n) less the mean of log2(count) over the characters; those that occur once add nothing."""
+    lost = F.aggregate(repeated, F.lit(0.0), lambda total, r: total + F.length(r) * F.log2(F.length(r)))
+    return F.when(n > 0, F.round(F.log2(n) - lost / n, 9)).otherwise(0.0)
+
+
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def repeats(text: Column) -> Column:
+    """The characters that occur more than once, each as a run of all its occurrences."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(characters(text)), ""), F.lit(r"(?s)(.)\1+"), F.lit(0))
 
 
 def distinct(text: Column) -> Column:
     """The characters of a text, each once."""
-    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.array_distinct(characters(text))
 
 
 def windows(token: Column, width: int) -> Column:
@@ -62,8 +71,13 @@ def entropy_matches(line: Column, cfg: Entropy, bounds: Callable[[Column], Colum
     def best(token: Column) -> Column:
         whole = F.array(F.struct(F.lit(1).alias("at"), token.alias("win")))
         tried = F.when(F.octet_length(token) <= cfg.window, whole).otherwise(windows(token, cfg.window))
-        fit = F.filter(tried, lambda w: in_charset(w["win"], cfg.charset) & rich(w["win"]))
-        scored = F.transform(fit, lambda w: F.struct(entropy(w["win"]).alias("h"), (-w["at"]).alias("first"), w["win"].alias("win")))
+        # A window of a token within the character set is within it too.
+        fit = F.when(in_charset(token, cfg.charset), tried).otherwise(F.filter(tried, lambda w: in_charset(w["win"], cfg.charset)))
+        counted = F.transform(fit, lambda w: F.struct(w["at"].alias("at"), w["win"].alias("win"), repeats(w["win"]).alias("again")))
+        # Different characters: all of them, less the occurrences of one after its first.
+        kinds = lambda w: F.length(w["win"]) - F.aggregate(w["again"], F.lit(0), lambda total, r: total + F.length(r) - 1)
+        able = F.filter(counted, lambda w: kinds(w) >= least)
+        scored = F.transform(able, lambda w: F.struct(_bits(F.length(w["win"]), w["again"]).alias("h"), (-w["at"]).alias("first"), w["win"].alias("win")))
         return F.array_max(scored)
 
     long = F.filter(tokens(line), lambda t: (F.octet_length(t) >= cfg.min_length) & bounds(t) & rich(t))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -196,3 +197,19 @@ def test_plan_is_one_narrow_stage(spark):
     frame = spark.createDataFrame([("a.json", 1, "x")], "file_path string, line_number int, line string")
     plan = detect.detect(frame, rules.builtin("all"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange|Join", plan)
+
+
+def test_entropy_against_counts(spark):
+    """Repeats, line feeds, characters beyond 16 bits, combining marks and regex signs, one row a text."""
+    import collections
+    import random
+
+    rng = random.Random(8)
+    texts = ["", "a", "aa", "aab", "\n\n\r", "\U0001f600\U0001f600\U0001f601", "éé́é", "\\1(.)$$..", "ſsS"]
+    texts += ["".join(rng.choices("aAbB01+/\n\U0001f600é.$", k=rng.randrange(1, 70))) for _ in range(200)]
+
+    def bits(t):
+        return -sum(n / len(t) * math.log2(n / len(t)) for n in collections.Counter(t).values()) if t else 0.0
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", entropy.entropy(F.col("t")).alias("h")).collect()
+    assert all(abs(r.h - bits(texts[r.i])) < 2e-9 for r in got) and len(got) == len(texts)
