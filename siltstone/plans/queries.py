@@ -647,8 +647,9 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS task_id, s_suppkey % 90 AS concurrency, CASE WHEN s_suppkey % 2 = 0 THEN 'all' ELSE 'core' END AS rules_level FROM supplier")
 def task_config_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("task_id"), F.to_json(F.struct((F.col("s_suppkey") % 90).alias("concurrency"), F.when(F.col("s_suppkey") % 2 == 0, "all").otherwise("core").alias("rules_level"))).alias("config"))
-    return made.select("task_id", F.from_json("config", "concurrency long, rules_level string").alias("c")).select("task_id", "c.*")
+    level = F.when(F.col("s_suppkey") % 2 == 0, "all").otherwise("core")
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("task_id"), tasks.packed(concurrency=F.col("s_suppkey") % 90, rules_level=level).alias("config"))
+    return made.select("task_id", tasks.unpacked(F.col("config")).alias("c")).select("task_id", "c.concurrency", "c.rules_level")
 
 
 @query("SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' ELSE 'complete' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'BadZipFile' ELSE '' END AS error, CAST(CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS findings_count FROM customer")

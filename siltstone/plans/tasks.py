@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import fields
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.config import Config
+
 SCHEMA = (
     "id long, task_id string, repo_url string, group_filter string, config string, scan_interval_sec long, status string, state_file string, "
     "created_at timestamp, last_run_at timestamp, next_run_at timestamp, last_run_status string, scan_count long"
 )
 SECRETS = ("auth_header", "auth_token", "auth_user", "auth_pass")
 
+KINDS = {"str": "string", "int": "long", "float": "double", "bool": "boolean"}
+
+
+def packed(**options: Column) -> Column:
+    """The config text of a task: these options and the defaults of all others, without secrets."""
+    every = {k: F.lit(v) for k, v in Config().snapshot().items()}
+    if wrong := sorted(set(options) - set(every)):
+        raise ValueError(f"no options of a task: {', '.join(wrong)}")
+    return F.to_json(F.struct(*[v.alias(k) for k, v in (every | options).items()]))
+
+
+def unpacked(config: Column) -> Column:
+    """A struct of the options that a config text gives; null where it doesn't, secrets never."""
+    return F.from_json(config, ", ".join(f"{f.name} {KINDS[str(f.type)]}" for f in fields(Config) if f.name not in SECRETS))
+
 
 def due(tasks: DataFrame, now) -> DataFrame:
     """Active tasks whose time has come or that never ran; these first."""

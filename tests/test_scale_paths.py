@@ -8,9 +8,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.config import Config
 from siltstone.operators import listing
 from siltstone.operators.ranges import sums_before
-from siltstone.plans import report, state, store
+from siltstone.plans import report, state, store, tasks
 
 
 NOW = datetime.datetime(2024, 5, 1)
@@ -119,3 +120,16 @@ def test_export_in_parts(spark, tmp_path):
     assert json.loads((tmp_path / "all.json").read_text()) == json.loads(report.export_json(rows).first().json)
     report.write_export(rows.limit(0), str(tmp_path / "none.json"))
     assert (tmp_path / "none.json").read_text() == "null\n"
+
+
+def test_task_options(spark):
+    rows = spark.createDataFrame([(3, "g"), (None, None)], "n long, g string").select(tasks.packed(concurrency=F.col("n"), group=F.col("g"), skip_pom=F.lit(True)).alias("config"))
+    first, second = (r.config for r in rows.collect())
+    assert json.loads(first) == Config(concurrency=3, group="g", skip_pom=True).snapshot()
+    assert Config.from_snapshot(json.loads(first)) == Config(concurrency=3, group="g", skip_pom=True)
+    made = json.dumps(Config(qps=1.5, auth_token="x").snapshot() | {"auth_token": "x", "unknown": 1})
+    got = spark.createDataFrame([(first,), (second,), (made,), ("{",), (None,)], "config string").select(tasks.unpacked(F.col("config")).alias("c")).collect()
+    assert (got[0].c.concurrency, got[0].c.group, got[0].c.skip_pom, got[1].c.concurrency) == (3, "g", True, None)
+    assert got[2].c.qps == 1.5 and "auth_token" not in got[2].c.asDict() and got[3].c.concurrency is None and got[4].c is None
+    with pytest.raises(ValueError):
+        tasks.packed(auth_token=F.lit("x"))
