@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame, most_rounds: int | None = None) -> Da
             raise RuntimeError(f"components are not settled after {most_rounds} rounds")
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = common.apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), 2 * state[0])
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = common.apart(large.groupBy("a").agg(F.min("b").alias("m")), state[0])
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = common.materialize(small.where("a <> b").distinct(), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -146,9 +146,10 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
 def alike(classes: DataFrame) -> DataFrame:
     """(a, b): edges that connect the classes ``first`` whose fingerprints are equal or linked."""
     prints = common.materialize(classes.groupBy("fp").agg(F.min("first").alias("head")), "prints")
-    equal = classes.join(prints, "fp").select(F.col("head").alias("a"), F.col("first").alias("b"))
-    ends = simhash.links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
-    ends = ends.join(prints.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
+    n = prints.count()
+    equal = classes.join(common.apart(prints, n), "fp").select(F.col("head").alias("a"), F.col("first").alias("b"))
+    ends = simhash.links(prints.select("fp")).join(common.apart(prints.select(F.col("fp").alias("a"), F.col("head").alias("ha")), n), "a")
+    ends = ends.join(common.apart(prints.select(F.col("fp").alias("b"), F.col("head").alias("hb")), n), "b")
     return equal.where("a <> b").unionByName(ends.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
@@ -181,7 +182,7 @@ def links(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
 
     A component is dealt to chunks of ``tile`` to four times as many; every two chunks meet in one tile.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = common.apart(members.groupBy("component").agg(F.count("*").alias("n")), members.count())
     rows = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(tile), F.least(F.lit(4 * tile), F.col("n") / 8))).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("first"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -214,13 +215,15 @@ def links(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     return tiles.mapInArrow(common.frugal(run), "a long, b long")
 
 
-def copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """((key, first), (node, component)): the sets with their smallest doc_id, and the components of
-    those ids that are linked to another."""
+def copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """((key, first), (node, component), n): the ``n`` sets with their smallest doc_id, and the components
+    of those ids that are linked to another."""
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = sketches(source, words).groupBy("key").agg(F.min("doc_id").alias("first"), F.min("signs").alias("signs"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     classes = common.materialize(rows, "classes")
+    n = classes.count()
     met = common.materialize(connected_components(candidates(classes, threshold).unionByName(alike(classes))), "met")
+    linked_ids = met.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +233,12 @@ def copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> tuple[Dat
                 keys = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["key", "raw"])
 
-    wanted = classes.select("key", "first").join(met, F.col("first") == F.col("node")).select("key", "first", "component")
-    some = source.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = classes.select("key", "first").join(common.apart(met, linked_ids), F.col("first") == F.col("node")).select("key", "first", "component")
+    wanted = common.apart(wanted, linked_ids)
+    some = source.join(common.apart(wanted.select(F.col("first").alias("doc_id")).distinct(), linked_ids), "doc_id", "left_semi")
     raw = some.select("doc_id", "text").mapInArrow(common.frugal(sets), "key binary, raw binary")
     members = common.materialize(raw.dropDuplicates(["key"]).join(wanted, "key").select("component", "first", "raw"), "members")
-    return classes.select("key", "first"), connected_components(links(members, threshold))
+    return classes.select("key", "first"), connected_components(links(members, threshold)), n
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -242,7 +246,7 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
 
     Repeated rows, rows with the same doc_id and rows without one are treated as in ``simhash.deduplicated``.
     """
-    classes, merged = copies(docs, threshold, words)
+    classes, merged, n = copies(docs, threshold, words)
     others = merged.where("node <> component").select(F.col("node").alias("first"))
-    kept = classes.join(others, "first", "left_anti").select(F.col("first").alias("doc_id")).distinct()
-    return common.one_each(docs, kept)
+    kept = classes.join(common.apart(others, n), "first", "left_anti").select(F.col("first").alias("doc_id")).distinct()
+    return common.one_each(docs, kept, n)

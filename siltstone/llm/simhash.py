@@ -103,7 +103,8 @@ def segments_for(n: int, distance: int) -> int:
 
 def links(prints: DataFrame, distance: int = 2, segments: int | None = None) -> DataFrame:
     """(a, b): pairs of distinct fingerprints ``fp`` at most ``distance`` bits apart."""
-    segments = segments or segments_for(prints.count(), distance)
+    n = prints.count()
+    segments = segments or segments_for(n, distance)
     width = 64 // segments
     base = width + 2 * distance + 1  # room for steps either way, so no two cells share a number
 
@@ -117,10 +118,11 @@ def links(prints: DataFrame, distance: int = 2, segments: int | None = None) ->
     # A cell is one number in a mixed radix; a step is a constant added to it.
     cell = sum((part(i) + distance).cast("long") * F.lit(base**i) for i in range(segments))
     cells = prints.select("fp", cell.alias("cell"))
-    moves = F.array(*[F.lit(code(v)) for v in steps(segments, distance)])
+    codes = [code(v) for v in steps(segments, distance)]
+    moves = F.array(*map(F.lit, codes))
     moved = cells.select(F.col("fp").alias("a"), F.explode(moves).alias("move"), "cell").select("a", (F.col("cell") + F.col("move")).alias("cell"))
-    near = moved.join(cells.withColumnRenamed("fp", "b"), "cell").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    same = cells.select(F.col("fp").alias("a"), "cell").join(cells.select(F.col("fp").alias("b"), "cell"), "cell")
+    near = moved.join(common.apart(cells.withColumnRenamed("fp", "b"), n * len(codes)), "cell").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    same = cells.select(F.col("fp").alias("a"), "cell").join(common.apart(cells.select(F.col("fp").alias("b"), "cell"), n), "cell")
     same = same.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return near.select("a", "b").unionByName(same.select("a", "b"))
 
@@ -129,12 +131,14 @@ def groups(docs: DataFrame, distance: int = 2, words: int = 3, seed: int = 42) -
     """(doc_id, fp, component_id) per row of (doc_id, text)."""
     rows = common.materialize(fingerprints(docs, words, seed), "fingerprints")
     classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    n = classes.count()
     found = links(classes.select("fp"), distance)
     # The links are few; their ends are named by the smallest document of each class.
-    ends = found.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b")
+    ends = found.join(common.apart(classes.select(F.col("fp").alias("a"), F.col("first").alias("fa")), n), "a")
+    ends = ends.join(common.apart(classes.select(F.col("fp").alias("b"), F.col("first").alias("fb")), n), "b")
     merged = connected_components(ends.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    named = classes.join(merged, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(common.apart(merged, n), F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    return rows.join(common.apart(named, rows.count()), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

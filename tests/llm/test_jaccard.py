@@ -2,9 +2,10 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import jaccard
+from siltstone.llm import common, jaccard
 
 from .edge import edge_docs, empty, with_clashes
 
@@ -94,3 +95,9 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 9]
     assert jaccard.deduplicated(empty(spark)).count() == 0
+
+
+def test_classes_of_large_tables_are_not_broadcast(spark):
+    rows = spark.range(210_000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("first"))
+    found = jaccard.alike(common.materialize(rows, "classes"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
