@@ -3,9 +3,10 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siltstone.llm import queries, simhash
+from siltstone.llm import common, queries, simhash
 from siltstone.llm.components import connected_components
 
 from .edge import edge_docs, empty, with_clashes
@@ -100,3 +101,19 @@ def test_unsettled_components_are_an_error(spark):
     with pytest.raises(RuntimeError):
         connected_components(edges, most_rounds=2).count()
     assert {r.component for r in connected_components(edges).collect()} == {0}
+
+
+def large_prints(spark):
+    """A table of 210,000 fingerprints, which files of under 10 MB hold."""
+    return common.materialize(spark.range(210_000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("first")), "prints")
+
+
+def test_probes_are_not_broadcast(spark):
+    found = simhash.links(large_prints(spark).select("fp"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_known_small_tables_may_be_broadcast(spark):
+    prints = large_prints(spark)
+    plan = lambda rows: prints.join(common.apart(prints.withColumnRenamed("first", "b"), rows), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(30_000) and "SortMergeJoin" in plan(210_000)
