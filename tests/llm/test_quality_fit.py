@@ -90,3 +90,11 @@ def test_rank(spark):
     frame = spark.createDataFrame([(v,) for v in values], "s double")
     for rank in (0, 1, 200, 260, 350, 500, 501):
         assert quality.at_rank(frame, len(values), rank, most_rows=10) == sorted(values)[rank]
+
+
+def test_more_labels_than_are_broadcast(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = {r.doc_id for r in quality.accepted(docs, labels).collect()}
+    monkeypatch.setattr(quality, "few", lambda labels: False)
+    assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == want and want
