@@ -26,6 +26,8 @@ from . import common
 from .tokens import encode_batches, load_definition
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
+#: Text encoded at a time, and words kept (first, later): packing comes last in a pipeline, beside a JVM grown large.
+SLICE, WORDS = 3 << 20, (100_000, 60_000)
 TYPES = [pa.int64()] * 8 + [pa.binary()]
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -118,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
         packer = Packer(size, open_windows, part << 32)
         for batch in batches:
             who = batch.column(0).to_pylist()
-            for at, flat, counts in encode_batches(batch.column(1), definition, end_id):
+            for at, flat, counts in encode_batches(batch.column(1), definition, end_id, SLICE, WORDS):
                 ends = np.cumsum(counts)
                 for doc, end, n in zip(who[at : at + len(counts)], ends.tolist(), counts.tolist(), strict=True):
                     packer.add(doc, 0, n, flat[end - n : end])

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import byte_slices
+from .common import byte_slices, give_back
 
 #: Words that one Python worker keeps for good, and how many later ones besides.
 FIRST_WORDS, MORE_WORDS = 220_000, 150_000
+#: Words whose ids are looked up at a time: the places of ids take several times the ids' own memory.
+STEP = 1 << 16
 #: Where a letter and punctuation meet, the pre-tokenizer cuts in any case; cutting there first
 #: makes fewer distinct words.
 PUNCTUATION = r"(\pL)([.,;:!?%$&#*])"
@@ -27,10 +29,10 @@ def load_definition(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def tokenizer(definition: str) -> WordTokenizer:
-    key = hashlib.md5(definition.encode()).hexdigest()
+def tokenizer(definition: str, keep: tuple[int, int] = (FIRST_WORDS, MORE_WORDS)) -> WordTokenizer:
+    key = hashlib.md5(f"{keep}{definition}".encode()).hexdigest()
     if key not in _LIVE:
-        _LIVE[key] = WordTokenizer(definition)
+        _LIVE[key] = WordTokenizer(definition, keep)
     return _LIVE[key]
 
 
@@ -42,11 +44,12 @@ class WordTokenizer:
     after another, so each distinct word is encoded once and looked up afterwards.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, keep: tuple[int, int] = (FIRST_WORDS, MORE_WORDS)) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(definition)
+        self.first_words, self.more_words = keep
         vocabulary = self.inner.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -64,7 +67,7 @@ class WordTokenizer:
         """Forget all but the words that came first, which are the frequent ones."""
         if self.kept is None:
             self.kept = self.count, self.used
-        elif self.count > self.kept[0] + MORE_WORDS:
+        elif self.count > self.kept[0] + self.more_words:
             self.count, self.used = self.kept
             self.codes = {w: c for w, c in self.codes.items() if c < self.count}
 
@@ -110,24 +113,27 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, PUNCTUATION, r"\1 \2"))
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
+        del split
         words = coded.dictionary.to_pylist()
-        if self.count > FIRST_WORDS:
+        if self.count > self.first_words:
             self._trim()
         if new := [w for w in words if w not in self.codes]:
             self._add(new)
         known = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         code = known[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        del coded, words, new
         if (mark := self.codes.get(f"{END}{end}")) is None:
             self._store([f"{END}{end}"], np.array([end], np.uint32), np.array([1]))
             mark = self.codes[f"{END}{end}"]
         code = np.insert(code, np.cumsum(counts), mark)
-        size = self.size[code]
-        ends = np.cumsum(size)[np.cumsum(counts + 1) - 1]
-        return self._gather(code), np.diff(np.r_[0, ends])
+        n_ids = np.add.reduceat(self.size[code], np.cumsum(counts + 1) - counts - 1) if len(counts) else counts
+        return np.concatenate([self._gather(code[at : at + STEP]) for at in range(0, max(1, len(code)), STEP)]), n_ids
 
 
-def encode_batches(texts: pa.Array, definition: str, end: int, most: int = 5 << 20):
-    """Encode a column of texts in steps of about ``most`` bytes: (first row, ids, ids of each row)."""
-    coder = tokenizer(definition)
+def encode_batches(texts: pa.Array, definition: str, end: int, most: int = 5 << 20, keep: tuple[int, int] = (FIRST_WORDS, MORE_WORDS)):
+    """Encode a column of texts in steps of about ``most`` bytes: (first row, ids, ids of each row).
+    What a step leaves free goes back to the system, or a worker keeps several steps' memory."""
+    coder = tokenizer(definition, keep)
     for at, to in byte_slices(texts, most):
         yield at, *coder.encode(texts.slice(at, to - at), end)
+        give_back()
