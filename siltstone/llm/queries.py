@@ -122,13 +122,9 @@ r AS (
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 o AS (
-  SELECT source, j, CAST(('0x' || substr(md5(coalesce(source, chr(0)) || '/mix' || j), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS shift
-  FROM s, range(16) AS x(j)),
-c AS (
-  SELECT r.*, o.j, CAST(least(floor((rank + 1) * each + shift) - floor(rank * each + shift), 3) * size AS BIGINT) AS taken
-  FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source),
-b AS (SELECT source, arg_min(j, (abs(got - target), j)) AS j FROM (SELECT source, j, sum(taken) AS got, any_value(target) AS target FROM c GROUP BY source, j) GROUP BY source)
-SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
+  SELECT source, CAST(('0x' || substr(md5(coalesce(source, chr(0)) || '/mix'), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS shift FROM s)
+SELECT doc_id, size, source_size, target, CAST(least(floor((rank + 1) * each + shift) - floor(rank * each + shift), 3) * size AS BIGINT) AS taken
+FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source
 """
 
 OP1_SQL = r"""
