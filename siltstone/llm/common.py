@@ -40,6 +40,19 @@ def byte_slices(texts, most: int = 2 << 20):
         at = to
 
 
+def byte_chunks(raw: bytes, sign: bytes = b" ", most: int = 1 << 20):
+    """The bytes of a text in parts of about ``most``, each starting at a ``sign``; a run without one stays whole."""
+    at = 0
+    while len(raw) - at > most:
+        to = raw.rfind(sign, at + 1, at + most)
+        to = to if to > 0 else raw.find(sign, at + most)
+        if to < 0:
+            break
+        yield raw[at:to]
+        at = to
+    yield raw[at:] if at else raw
+
+
 def give_back() -> None:
     """Return this process's free memory to the system."""
     import ctypes

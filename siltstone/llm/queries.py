@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
+from . import common, divergence, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
 
 
 def tokenizer_path() -> str:
@@ -93,6 +93,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.pick(common.table(spark, sf_dir, "documents"), "lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_html_extract": op2_html_extract,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op13_divergence": op13_divergence,
 }
 
 OP10_SQL = r"""
@@ -159,4 +164,35 @@ SELECT record_id, canonical_url, status, CASE WHEN status LIKE 'resolved%' THEN
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op1_revisits": OP1_SQL, "op10_mixing": OP10_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT i, lang, source, unnest(words) AS term FROM d),
+g AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 10),
+kn AS (SELECT g.lang, g.source, g.term, g.n FROM g JOIN k ON g.lang = k.lang AND g.term = k.term),
+gr AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+tot AS (SELECT gr.lang, gr.source, coalesce(sum(n), 0)::HUGEINT AS total FROM gr LEFT JOIN kn ON gr.lang = kn.lang AND gr.source = kn.source GROUP BY ALL),
+p AS (  -- every kept term of every group, with zero counts
+  SELECT tot.lang, tot.source, k.term, coalesce(kn.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(kn.n, 0) + 2)) // (total + 2 * v.v) AS p
+  FROM tot JOIN k ON tot.lang = k.lang JOIN v ON v.lang = tot.lang
+  LEFT JOIN kn ON kn.lang = tot.lang AND kn.source = tot.source AND kn.term = k.term),
+l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM kn GROUP BY ALL),
+q AS (SELECT l.lang, l.term, 1 + (1000000000::HUGEINT * (l.n + 2)) // (t.total + 2 * v.v) AS q
+  FROM l JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM l GROUP BY lang) t ON t.lang = l.lang JOIN v ON v.lang = l.lang),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM terms) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_revisits": OP1_SQL, "op10_mixing": OP10_SQL, "op13_divergence": OP13_SQL}
