@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, divergence, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
+from . import collocations, common, divergence, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
 
 
 def tokenizer_path() -> str:
@@ -93,6 +93,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.pick(common.table(spark, sf_dir, "documents"), "lang", "text"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.pick(common.table(spark, sf_dir, "documents"), "lang", "source", "text"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op12_collocations": op12_collocations,
     "op13_divergence": op13_divergence,
 }
 
@@ -164,6 +169,28 @@ SELECT record_id, canonical_url, status, CASE WHEN status LIKE 'resolved%' THEN
 FROM s
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+g AS (SELECT lang, w[s:s + m - 1] AS p, count(*) AS f FROM p, range(1, 5) AS x(m) WHERE s + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(p) = 1 GROUP BY lang),
+c AS (SELECT lang, p, f AS a FROM g WHERE len(p) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.p, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN g r ON r.lang = c.lang AND r.p = c.p[k + 1:len(c.p)]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, p[s:s + m - 1] AS p, max(a) AS longer FROM c, range(2, 4) AS x(m), range(1, 4) AS y(s) WHERE m < len(p) AND s + m - 1 <= len(p) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.p = b.p
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -195,4 +222,4 @@ UNION ALL
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM terms) WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_revisits": OP1_SQL, "op10_mixing": OP10_SQL, "op13_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_revisits": OP1_SQL, "op10_mixing": OP10_SQL, "op12_collocations": OP12_SQL, "op13_divergence": OP13_SQL}
