@@ -93,7 +93,7 @@ def squeezed(values) -> bytes:
     import numpy as np
     import zstandard
 
-    steps = np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1)
+    steps = np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), values.dtype.itemsize)
     return zstandard.compress(steps.T.tobytes(), 3)
 
 

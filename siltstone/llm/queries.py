@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, common, divergence, embed_dedup, html_extract, imatch, mixing, packing, pii, quality, simhash, token_blocks, warc
+from . import collocations, common, divergence, embed_dedup, html_extract, imatch, licenses, mixing, packing, pii, quality, simhash, token_blocks, warc
 
 
 def tokenizer_path() -> str:
@@ -93,6 +93,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(common.pick(common.table(spark, sf_dir, "documents"), "lang", "text"))
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_licenses": op11_licenses,
     "op12_collocations": op12_collocations,
     "op13_divergence": op13_divergence,
 }
