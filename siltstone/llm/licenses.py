@@ -193,14 +193,37 @@ def spans(found: DataFrame, share: float = 0.2, shift: int = 8) -> DataFrame:
     return enough.select("doc_id", "text_hash", "template", F.greatest(start, F.lit(0)).alias("start"), stop.alias("stop"))
 
 
-def common_words(masks: dict, size: int, words: list) -> int:
-    """Length of the longest common subsequence with a template of ``size`` words, whose places ``masks`` holds as bits."""
-    full = (1 << size) - 1
-    row = full
-    for w in words:
-        held = row & masks.get(w, 0)
+def places_of(words: list) -> dict:
+    """The places of each word as the bits of a whole number."""
+    found = {}
+    for i, w in enumerate(words):
+        found[w] = found.get(w, 0) | 1 << i
+    return found
+
+
+def likest(places: dict, size: int, words: list) -> tuple[float, int]:
+    """The largest likeness 2 c / (size + n) of a template of ``size`` words to the first n of ``words``, c being the length of
+    their longest common subsequence (its rows of bits are added up a word at a time), and that n, the least of equals."""
+    full = row = (1 << size) - 1
+    best = (0.0, 0)
+    for n, w in enumerate(words, 1):
+        held = row & places.get(w, 0)
         row = ((row + held) | (row - held)) & full
-    return size - row.bit_count()
+        like = 2 * (size - row.bit_count()) / (size + n)
+        if like > best[0]:
+            best = (like, n)
+    return best
+
+
+def fitted(words: list, start: int, stop: int, template: dict, slack: int = 8) -> tuple[int, int, float]:
+    """(start, stop, likeness) of the likest stretch: the end and then the start may move by ``slack`` words, since runs of
+    fewer than k words at an end don't vote."""
+    m = len(template["words"])
+    slack = min(slack, m // 4)
+    low = max(0, start - slack)
+    _, n = likest(template["places"], m, words[low : stop + slack])
+    like, back = likest(template["turned"], m, words[low : low + n][::-1])
+    return low + n - back, low + n, like
 
 
 def best_of(found: list[tuple], known: list[dict]) -> list[tuple]:
@@ -223,11 +246,7 @@ def verified(batches, known: list[dict], likeness: float):
     """(doc_id, text_hash, template, start, likeness) of the spans that hold, from batches of (doc_id, text_hash, text, spans)."""
     import pyarrow as pa
 
-    masks = {}
-    for t in known:
-        places = masks.setdefault(t["template"], {})
-        for i, w in enumerate(t["words"]):
-            places[w] = places.get(w, 0) | 1 << i
+    known = [t | {"places": places_of(t["words"]), "turned": places_of(t["words"][::-1])} for t in known]
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
@@ -235,10 +254,12 @@ def verified(batches, known: list[dict], likeness: float):
             out = []
             for s in row.column(3)[0].as_py():
                 t = known[s["template"]]
-                part = words[s["start"] : s["stop"]]
-                like = 2 * common_words(masks[t["template"]], len(t["words"]), part) / (len(t["words"]) + len(part))
-                if like >= (1 if t["exact"] else likeness):
-                    out.append((t["template"], s["start"], min(s["stop"], len(words)), like))
+                if t["exact"]:
+                    found = (s["start"], s["stop"], float(words[s["start"] : s["stop"]] == t["words"]))
+                else:
+                    found = fitted(words, s["start"], s["stop"], t)
+                if found[2] >= (1 if t["exact"] else likeness):
+                    out.append((t["template"], *found))
             out = [(t, start, like) for t, start, _, like in best_of(out, known)]
             columns = [row.column(j).take(pa.array([0] * len(out), pa.int32())) for j in (0, 1)]
             columns += [pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))]

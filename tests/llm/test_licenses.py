@@ -96,7 +96,7 @@ def test_edited_notices(spark):
         got, wanted = check(r, docs[r.doc_id]), slow_labels(docs[r.doc_id])
         assert got - set(slow_base(docs[r.doc_id])[1]) <= set(wanted)  # nothing that no stretch is like
         caught += len(got & set(wanted))
-        missed += len({label for label, like in wanted.items() if like >= 0.95} - got)
+        missed += len(set(wanted) - got)
     assert caught > 30 and missed == 0
 
 
