@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -213,3 +214,35 @@ def test_entropy_against_counts(spark):
 
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", entropy.entropy(F.col("t")).alias("h")).collect()
     assert all(abs(r.h - bits(texts[r.i])) < 2e-9 for r in got) and len(got) == len(texts)
+
+
+def test_windows_of_long_tokens(spark):
+    """Tokens of several stretches, with windows across their borders and characters of one to four bytes."""
+    rng = random.Random(12)
+    n = 2 * entropy.STRETCH
+    texts = ["".join(rng.choices(alphabet, k=k)) for alphabet in ("ABCDabcd01+/", "aé日😀bcdefgh") for k in (entropy.STRETCH + 31, entropy.STRETCH + 32, n + 7)]
+    texts += ["a" * n + "bcdefghijklmnopqrstuvwxyz012345" + "a" * n, "é" * n + "日本語字" * 3 + "é" * n]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    for cfg in (Entropy(2.0, 32, 20, 0, "base64"), Entropy(1.0, 7, 20, 0, "base64")):
+        rows = frame.select("i", entropy.entropy_matches(F.col("line"), cfg, lambda t: F.lit(True)).alias("m")).collect()
+        for row in rows:
+            assert [(m.value, m.entropy) for m in row.m] == slow_entropy(texts[row.i], cfg)
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_long_tokens_take_linear_time(spark):
+    """A token of 1 MiB against one of 128 KiB: eight times the windows, and no more than about that in time."""
+    rng = random.Random(3)
+    match = entropy.entropy_matches(F.col("line"), Entropy(), lambda t: F.lit(True))
+
+    def seconds(k):
+        frame = spark.createDataFrame([("".join(rng.choices(BASE64, k=k)),)], "line string")
+        start = time.perf_counter()
+        assert frame.select(F.size(match).alias("n")).first().n == 1
+        return time.perf_counter() - start
+
+    seconds(1 << 10)
+    small, large = seconds(1 << 17), seconds(1 << 20)
+    assert large < 14 * small
