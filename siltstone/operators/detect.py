@@ -104,18 +104,21 @@ def any_rule_applies(files: DataFrame, rules: Sequence[Rule], path: str = "file_
     return with_gates(files, rules, path).where(F.exists("_gates", lambda g: g)).drop("_gates")
 
 
-def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None, gated: bool = True, keep_null: bool = False) -> DataFrame:
-    """Findings of (file_path, line_number, line, ...): the columns of ``lines`` but the line, with
-    rule_ord, pattern_ord, match_ord, rule_id, rule_name, severity, line_content, match, description,
-    engine_name and entropy. ``gated=False`` leaves file names out of account; with ``keep_null`` a row
-    without a line stays, as one without a finding."""
-    rules = list(rules)
-    kinds = list(dict.fromkeys(r.file_patterns for r in rules if r.enabled))
-    ready = "_gates" in lines.columns
-    rows = lines if ready or not gated else with_gates(lines, rules)
-    line = F.col("line")
-    low = F.col("_low")
-    parts = []
+def file_kinds(rules: Sequence[Rule]) -> list[tuple[str, ...]]:
+    """The distinct sets of file patterns, in the order of ``_gates``."""
+    return list(dict.fromkeys(r.file_patterns for r in rules if r.enabled))
+
+
+def prepared(lines: DataFrame, rules: Sequence[Rule], gated: bool) -> DataFrame:
+    """``lines`` with what ``matches`` reads: the gates, and the line in lower case."""
+    rows = lines if "_gates" in lines.columns or not gated else with_gates(lines, rules)
+    # The long s is the one letter whose lower case hides an ASCII letter from ``contains``.
+    return rows.withColumn("_low", F.lower(F.translate("line", "ſ", "s")))
+
+
+def matches(rules: Sequence[Rule], engines: dict | None = None, gated: bool = True) -> Column:
+    """All rules' matches on the columns of ``prepared``, as one array."""
+    kinds, line, parts = file_kinds(rules), F.col("line"), []
     for number, rule in enumerate(rules):
         if not rule.enabled or (engine_of(rule, engines)[0] == "regex" and not rule.patterns):
             continue
@@ -127,26 +130,46 @@ def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None,
         if rule.keywords and name == "regex":
             holds = F.lit(False)
             for k in rule.keywords:
-                holds = holds | low.contains(k)
+                holds = holds | F.col("_low").contains(k)
             when = when & holds
         parts.append(F.when(when, made).otherwise(F.array().cast(MATCH)))
     if not parts:
         parts = [F.array().cast(MATCH)]
-    every = F.concat(*parts) if len(parts) > 1 else parts[0]
-    # The long s is the one letter whose lower case hides an ASCII letter from ``contains``.
-    rows = rows.withColumn("_low", F.lower(F.translate(line, "ſ", "s"))).withColumn("_found", (F.explode_outer if keep_null else F.explode)(every))
-    if keep_null:
-        rows = rows.where(F.col("_found").isNotNull() | line.isNull())
-    about = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), F.lit(engine_of(r, engines)[0]).alias("engine")) for r in rules]) if rules else F.array().cast("array<struct<id:string,name:string,severity:string,description:string,engine:string>>")
-    kept = [c for c in lines.columns if c not in ("line", "_gates")]
-    rule = F.get(about, F.col("_found.rule_ord"))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in kept],
-        "_found.rule_ord", "_found.pattern_ord", "_found.match_ord",
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def about(rules: Sequence[Rule], engines: dict | None = None) -> Column:
+    """What findings say of their rule, by its number."""
+    if not rules:
+        return F.array().cast("array<struct<id:string,name:string,severity:string,description:string,engine:string>>")
+    return F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), F.lit(engine_of(r, engines)[0]).alias("engine")) for r in rules])
+
+
+def finding(rule: Column) -> list[Column]:
+    """The columns of a finding, from ``_found``, the line and what is said of the rule."""
+    return [
+        F.col("_found.rule_ord"), F.col("_found.pattern_ord"), F.col("_found.match_ord"),
         rule["id"].alias("rule_id"), rule["name"].alias("rule_name"), rule["severity"].alias("severity"),
-        truncate(line, 200).alias("line_content"), truncate(F.col("_found.value"), 100).alias("match"),
+        truncate(F.col("line"), 200).alias("line_content"), truncate(F.col("_found.value"), 100).alias("match"),
         rule["description"].alias("description"), rule["engine"].alias("engine_name"), F.col("_found.entropy").alias("entropy"),
-    )
+    ]
+
+
+def carried(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns if c not in ("line", "_gates")]
+
+
+def detect(lines: DataFrame, rules: Sequence[Rule], engines: dict | None = None, gated: bool = True, keep_null: bool = False) -> DataFrame:
+    """Findings of (file_path, line_number, line, ...): the columns of ``lines`` but the line, with
+    rule_ord, pattern_ord, match_ord, rule_id, rule_name, severity, line_content, match, description,
+    engine_name and entropy. ``gated=False`` leaves file names out of account; with ``keep_null`` a row
+    without a line stays, as one without a finding."""
+    rules = list(rules)
+    rows = prepared(lines, rules, gated).withColumn("_found", (F.explode_outer if keep_null else F.explode)(matches(rules, engines, gated)))
+    if keep_null:
+        rows = rows.where(F.col("_found").isNotNull() | F.col("line").isNull())
+    rule = F.get(about(rules, engines), F.col("_found.rule_ord"))
+    return rows.select(*[F.col(f"`{c}`") for c in carried(lines)], *finding(rule))
 
 
 def _numbered(found: Column, number: int) -> Column:

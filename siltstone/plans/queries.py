@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
-from siltstone.operators import archive, detect, entropy, lines, listing, rules, summary
+from siltstone.operators import archive, detect, entropy, lines, listing, rule_table, rules, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
 from siltstone.scratch import scratch_path
 
@@ -88,6 +88,12 @@ def findings_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(corpus(spark, sf_dir), REGEX_ALL, gated=False).select("k", "rule_id", "match")
 
 
+@query(f"WITH {CORPUS}, f AS ({findings_sql(REGEX_ALL)}) SELECT k, rule_id, severity, {CUT.format('m', 100)} AS match FROM f")
+def findings_by_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all rules, by the automaton and the table of rules."""
+    return rule_table.detect_by_table(corpus(spark, sf_dir), REGEX_ALL).select("k", "rule_id", "severity", "match")
+
+
 @query(f"WITH {CORPUS}, f AS ({findings_sql(REGEX_ALL)}) SELECT severity, count(*) AS n FROM f GROUP BY severity")
 def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.by_severity(detect.detect(corpus(spark, sf_dir), REGEX_ALL))
@@ -608,6 +614,27 @@ def scan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_files(_containers(spark, sf_dir), REGEX_ALL).results.select("container_path", "status", "findings_count")
 
 
+LETTERS18 = "etaoinshrdlucmfgpb"
+
+
+def letter_rules(n: int = 5000) -> list[rules.Rule]:
+    """A rule for each of ``n`` runs of three letters with two more behind; its word is read off the pattern."""
+    runs = [a + b + c for a in LETTERS18 for b in LETTERS18 for c in LETTERS18][:n]
+    return [rules.Rule(id=f"run-{r}", severity="LOW", enabled=True, patterns=(r + "[a-z]{2}",)) for r in runs]
+
+
+@query(
+    f"WITH {DOC_LINES}, l AS (SELECT i, {q(LETTERS18)}[i + 1] AS c FROM range(18) AS x(i)), "
+    "r AS (SELECT a.c || b.c || c.c AS run FROM l a, l b, l c WHERE a.i * 324 + b.i * 18 + c.i < 5000), "
+    "g AS (SELECT DISTINCT doc_id, line_number, line, line[s:s + 2] AS run FROM (SELECT *, unnest(range(1, length(line) - 1)) AS s FROM doc_lines)), "
+    "m AS (SELECT run, doc_id, line_number, unnest(regexp_extract_all(line, run || '[a-z]{2}')) AS m FROM g JOIN r USING (run)) "
+    "SELECT 'run-' || run AS rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs, min(m) AS first, max(m) AS last FROM m GROUP BY run"
+)
+def findings_of_5000_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_table.detect_by_table(doc_lines(spark, sf_dir), letter_rules(), gated=False)
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("match").alias("first"), F.max("match").alias("last"))
+
+
 @query(f"WITH {DOC_LINES} SELECT doc_id, line_number, unnest(regexp_extract_all(line, '[A-Z][A-Z]+!!')) AS match FROM doc_lines")
 def custom_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     def shouted(line: str) -> list[str]:

@@ -12,9 +12,10 @@ from siltstone.config import Config
 from siltstone.functions.scalars import parse_size
 from siltstone.operators import rules as rule_sets
 from siltstone.operators.archive import Limits, expand
-from siltstone.operators.detect import any_rule_applies, detect, with_gates
+from siltstone.operators.detect import any_rule_applies, with_gates
 from siltstone.operators.lines import MAX_LINE_BYTES, longest_line, split_by_line_limit, split_lines
 from siltstone.operators.listing import artifacts, first_per_key, under_group
+from siltstone.operators.rule_table import find
 from siltstone.operators.rules import Rule
 from siltstone.operators.summary import rule_matches, summary
 from siltstone.scratch import scratch_path, written
@@ -47,7 +48,7 @@ def scan_text(files: DataFrame, rules: Sequence[Rule], engines: dict | None = No
     """
     ok, failed = split_by_line_limit(any_rule_applies(files, rules))
     lines = split_lines(with_gates(ok, rules))
-    return detect(lines, rules, engines), failed
+    return find(lines, rules, engines), failed
 
 
 def scan_rows(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = ()) -> DataFrame:
@@ -62,7 +63,7 @@ def scan_rows(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits()
     plain = ~F.lower("container_path").rlike(r"\.(jar|war|ear|zip|tar|gz|tgz)\z")
     entries = entries.withColumn("_error", F.when(marker & (F.col("entry_ord") == 0), F.col("error")).when(long & plain, F.lit("token too long")))
     entries = entries.withColumn("text", F.when(~long, F.col("text"))).drop("error")
-    return detect(split_lines(entries, keep_null=True), rules, engines, keep_null=True)
+    return find(split_lines(entries, keep_null=True), rules, engines, keep_null=True)
 
 
 def result_of(rows: DataFrame, carried: Sequence[str] = ()) -> ScanResult:

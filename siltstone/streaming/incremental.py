@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from siltstone.config import Config
 from siltstone.functions.scalars import parse_size
 from siltstone.operators import rules as rule_sets
-from siltstone.operators.detect import detect
 from siltstone.operators.lines import split_by_line_limit, split_lines
+from siltstone.operators.rule_table import find
 from siltstone.operators.listing import ARTIFACTS, artifacts, under_group
 from siltstone.operators.rules import Rule
 from siltstone.plans.scan import CARRIED, ScanResult, history_rows, scan_files
@@ -58,4 +58,4 @@ def scan_stream(spark: SparkSession, config: Config, store: Store, checkpoint: s
 def detect_stream(texts: DataFrame, rules: Sequence[Rule], engines: dict | None = None) -> DataFrame:
     """Findings of a stream of (file_path, text): stateless, so any output mode and trigger will do. Files
     with an endless line are left out, as in a batch."""
-    return detect(split_lines(split_by_line_limit(texts)[0]), rules, engines)
+    return find(split_lines(split_by_line_limit(texts)[0]), rules, engines)
