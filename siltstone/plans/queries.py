@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
-from siltstone.operators import archive, detect, entropy, lines, listing, rule_table, rules, summary
+from siltstone.operators import archive, detect, entropy, lines, listing, rule_table, rules, split, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
-from siltstone.scratch import scratch_path
+from siltstone.scratch import scratch_path, written
 
 from . import report, scan, state, store, tasks
 
@@ -603,6 +603,29 @@ def archive_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.expand(_containers(spark, sf_dir)).select("container_path", "file_path", "text")
 
 
+@query(f"WITH {CORPUS} SELECT concat('box', k // 37, '.jar') AS container, concat('d', k, '/', file_path) AS file_path, line || chr(13) || chr(10) AS text FROM corpus")
+def archive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same containers as files, read entry by entry in tasks of their own."""
+    folder = scratch_path(spark, "boxes")
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            names = [p.rsplit("/", 1)[1] for p in batch.column(0).to_pylist()]
+            for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
+                store, inside = fs.FileSystem.from_uri(f"{folder}/{name}" if "://" in folder else f"file://{folder}/{name}")
+                store.create_dir(inside.rsplit("/", 1)[0])
+                with store.open_output_stream(inside) as out:
+                    out.write(content)
+            yield pa.record_batch({"path": pa.array([f"{folder}/{n}" for n in names])})
+
+    paths = written(_containers(spark, sf_dir).mapInArrow(save, "path string"), scratch_path(spark, "box-paths"))
+    found = split.expand_split(paths)
+    return found.select(F.element_at(F.split("container_path", "/"), -1).alias("container"), "file_path", "text")
+
+
 @query(f"WITH {CORPUS}, f AS ({findings_sql(REGEX_ALL)}) SELECT concat('/repo/box', k // 37, '.jar') AS container_path, concat('d', k, '/', file_path) AS file_path, rule_id, {CUT.format('m', 100)} AS match FROM f JOIN corpus USING (k)")
 def nested_archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan.scan_files(_containers(spark, sf_dir), REGEX_ALL).findings

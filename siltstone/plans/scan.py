@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.config import Config
 from siltstone.functions.scalars import parse_size
 from siltstone.operators import rules as rule_sets
+from siltstone.operators import split
 from siltstone.operators.archive import Limits, expand
 from siltstone.operators.detect import any_rule_applies, with_gates
 from siltstone.operators.lines import MAX_LINE_BYTES, longest_line, split_by_line_limit, split_lines
@@ -51,10 +52,22 @@ def scan_text(files: DataFrame, rules: Sequence[Rule], engines: dict | None = No
     return find(lines, rules, engines), failed
 
 
-def scan_rows(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = ()) -> DataFrame:
+def entries_of(files: DataFrame, limits: Limits, carried: Sequence[str], large: int) -> DataFrame:
+    """Entries of all files. Zip containers of more than ``large`` bytes are split, if ``files`` come with their length,
+    as those of a folder do; only lengths are read to see whether there are any."""
+    if "length" not in files.columns:
+        return expand(files, limits, carried, markers=True)
+    splits = split.is_large(F.col("path"), F.col("length"), large) & (F.col("error").isNull() if "error" in files.columns else F.lit(True))
+    if files.where(splits).select("path").isEmpty():
+        return expand(files, limits, carried, markers=True)
+    whole = expand(files.where(~splits), limits, carried, markers=True)
+    return whole.unionByName(split.expand_split(files.where(splits).select("path", *carried), limits, carried, markers=True))
+
+
+def scan_rows(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = (), large: int = split.LARGE) -> DataFrame:
     """The rows of one scan in one narrow pass: a row for each finding, and for each container one
     without a finding that tells in ``_error`` why the container failed, if it did."""
-    entries = with_gates(expand(files, limits, carried, markers=True), rules)
+    entries = with_gates(entries_of(files, limits, carried, large), rules)
     marker = F.col("text").isNull()
     entries = entries.where(marker | F.exists("_gates", lambda g: g))
     # A container that gave no entry failed if it has an error; a plain file fails by an endless line,
@@ -74,7 +87,7 @@ def result_of(rows: DataFrame, carried: Sequence[str] = ()) -> ScanResult:
     return ScanResult(findings, counts.select("container_path", *carried, status, "error", "findings_count"))
 
 
-def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = (), into: str | None = None) -> ScanResult:
+def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(), engines: dict | None = None, carried: Sequence[str] = (), into: str | None = None, large: int = split.LARGE) -> ScanResult:
     """Scan (path, content, ...): containers are expanded, plain files scanned as they are.
 
     Files are read and expanded once, here: the rows of the scan go to a table (``into``, else the scratch
@@ -82,7 +95,7 @@ def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(
     ``carried`` columns; results have status, error and findings_count of every file. A file that comes
     with an ``error`` (a failed download) is a failed result.
     """
-    rows = written(scan_rows(files, rules, limits, engines, carried), into or scratch_path(files.sparkSession, "scan"))
+    rows = written(scan_rows(files, rules, limits, engines, carried, large), into or scratch_path(files.sparkSession, "scan"))
     return result_of(rows, carried)
 
 
