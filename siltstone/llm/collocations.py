@@ -70,6 +70,11 @@ class Line:
         import numpy as np
 
         words, places, lead = list(self.numbers)[2:], np.concatenate(self.parts), self.lead
+        # Numbered in the order of the words, which makes rows of words and of phrases alike their neighbours, hence short.
+        order = sorted(range(len(words)), key=words.__getitem__)
+        rank = np.zeros(len(words) + 1, np.int32)
+        rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1, dtype=np.int32)
+        words, places = [words[i] for i in order], rank[places]
         self.numbers = Numbers()
         first = np.array([self.numbers[words[i - 1]] if i else 0 for i in places[-LEAD:]], dtype=np.int32)
         self.parts, self.size, self.lead = [first], len(first), len(first)
@@ -88,21 +93,51 @@ def bitmaps(places):
     return (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32), masks
 
 
+def planes(values) -> bytes:
+    """Whole numbers byte by byte: all first bytes, all second bytes."""
+    import numpy as np
+
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def numbers(raw: bytes, kind):
+    import numpy as np
+
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, len(raw) // kind.itemsize).T).view(kind).ravel()
+
+
 def squeezed(values) -> bytes:
-    """Differences of whole numbers, byte by byte, in zstd."""
+    """Differences of whole numbers in zstd."""
     import numpy as np
     import zstandard
 
-    steps = np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return zstandard.compress(steps.T.tobytes(), 3)
+    return zstandard.compress(planes(np.diff(values, prepend=values.dtype.type(0))), 3)
 
 
 def unsqueezed(raw: bytes, kind):
     import numpy as np
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+    return np.cumsum(numbers(zstandard.decompress(raw), kind), dtype=kind)
+
+
+def squeezed_masks(masks) -> bytes:
+    """The number of each mask's lowest bit, and its other bits, which are few, in zstd."""
+    import numpy as np
+    import zstandard
+
+    lowest = masks & (~masks + np.uint16(1))
+    return zstandard.compress(np.log2(lowest).astype(np.uint8).tobytes() + planes(masks ^ lowest), 3)
+
+
+def unsqueezed_masks(raw: bytes):
+    import numpy as np
+    import zstandard
+
+    raw = zstandard.decompress(raw)
+    n = len(raw) // 3
+    return numbers(raw[n:], np.uint16) | (1 << np.frombuffer(raw[:n], np.uint8).astype(np.uint16)).astype(np.uint16)
 
 
 def encode(batches, most: int, lines: int = 64):
@@ -126,7 +161,7 @@ def encode(batches, most: int, lines: int = 64):
             yield pa.record_batch([*columns, pa.array(counts[at : at + k].astype(np.int64)), pa.nulls(k, pa.int32()), nothing, nothing, nothing], schema)
         word, block, mask = bitmaps(places)
         starts = np.searchsorted(word, np.arange(1, len(words) + 2)).astype(np.int32)
-        one = [number, lang, None, None, len(places), lead, squeezed(starts), squeezed(block), squeezed(mask)]
+        one = [number, lang, None, None, len(places), lead, squeezed(starts), squeezed(block), squeezed_masks(mask)]
         yield pa.record_batch([pa.array([x], f.type) for x, f in zip(one, schema, strict=True)], schema)
 
     for batch in batches:
@@ -150,7 +185,7 @@ class Shard:
     def __init__(self, row: dict, local, ids):
         import numpy as np
 
-        starts, blocks, masks = unsqueezed(row["starts"], np.int32), unsqueezed(row["blocks"], np.int32), unsqueezed(row["masks"], np.uint16)
+        starts, blocks, masks = unsqueezed(row["starts"], np.int32), unsqueezed(row["blocks"], np.int32), unsqueezed_masks(row["masks"])
         order = np.argsort(local)
         self.ids, kept = ids[order], local[order] - 1
         n = starts[kept + 1] - starts[kept]
@@ -277,7 +312,8 @@ def phrases(docs: DataFrame, least: int = 30, places: int = 1 << 21) -> tuple[Da
     local = made.where("word is not null")
     words = local.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = local.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = common.materialize(words.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
+    words = words.where(F.col("n") >= least).repartitionByRange("lang", "word").sortWithinPartitions("lang", "word")
+    words = common.materialize(words.withColumn("id", F.monotonically_increasing_id()), "words")
     mine = local.select("shard", "lang", "word", "local").join(common.small(words.drop("n")), ["lang", "word"])
     mine = common.materialize(mine.select("shard", "local", "id"), "shard-words").groupBy("shard")
     whole = made.where("word is null").select("shard", "n", "lead", "starts", "blocks", "masks").groupBy("shard")

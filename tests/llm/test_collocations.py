@@ -75,8 +75,10 @@ def test_bitmaps_are_the_places():
     word, block, mask = collocations.bitmaps(places)
     at = {(int(w), int(b) * collocations.WIDTH + i) for w, b, m in zip(word, block, mask, strict=True) for i in range(16) if int(m) >> i & 1}
     assert at == {(int(w), i) for i, w in enumerate(places) if w}
-    for values in (block, mask, np.zeros(0, np.int32)):
+    for values in (block, np.zeros(0, np.int32)):
         assert (collocations.unsqueezed(collocations.squeezed(values), values.dtype) == values).all()
+    for values in (mask, np.arange(1, 1 << 16, dtype=np.uint16), np.zeros(0, np.uint16)):
+        assert (collocations.unsqueezed_masks(collocations.squeezed_masks(values)) == values).all()
 
 
 def test_edges(spark):
