@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from siltstone.config import Config
 from siltstone.functions.scalars import gav_path, interval_text, parse_size
 from siltstone.operators import rules, summary
+from siltstone.operators.batching import batches_by_bytes
 from siltstone.operators.listing import artifacts, first_per_key
 from siltstone.plans import report, scan, state, store, tasks
 from siltstone.scratch import scratch_path, written
 from siltstone.sources import http
+from siltstone.sources.files import with_content
 from siltstone.streaming.incremental import scan_stream
 
 VERSION = "0.1.0"
@@ -63,15 +65,38 @@ def load_artifacts(spark: SparkSession, config: Config, done: DataFrame | None,
     return found, failed, options
 
 
+#: A scan has no more batches than this; their files grow with the repository instead.
+MOST_BATCHES = 1000
+
+
+def dealt(found: DataFrame, batch: str = "batch") -> Iterator[DataFrame]:
+    """The rows of each batch in turn, from a table that is written once, a folder for each: a batch reads its own rows only."""
+    path = scratch_path(found.sparkSession, "batches")
+    found.repartition(batch).write.partitionBy(batch).parquet(path)
+    kept = [c for c in found.columns if c != batch]
+    for (number,) in sorted(found.sparkSession.read.parquet(path).select(batch).distinct().collect()):
+        yield found.sparkSession.read.schema(found.select(*kept).schema).parquet(f"{path}/{batch}={number}")
+
+
 def batches(found: DataFrame, config: Config, options: http.Options | None) -> Iterator[DataFrame]:
-    """The artifacts in batches of about ``checkpoint_interval`` files, all files of one set of coordinates in the same; those of a folder in one (``--stream`` takes a folder by batches)."""
+    """The artifacts in batches, all files of one set of coordinates in the same: over HTTP of about ``checkpoint_interval``
+    files, in a folder of at most ``disk_budget_mb`` of files (without a budget, or if all fit, in one; ``--stream`` takes a
+    folder by its own batches)."""
     if options is None:
-        yield found
+        budget = config.disk_budget_mb << 20
+        total = found.agg(F.sum("length")).first()[0] or 0
+        if not budget or total <= budget:
+            yield found
+            return
+        listed = written(found.drop("content"), scratch_path(found.sparkSession, "listed"))
+        sets = batches_by_bytes(listed.groupBy("gav_path").agg(F.sum(F.when(F.col("error").isNull(), F.col("length"))).alias("size")), ("gav_path",), F.col("size"), budget)
+        for some in dealt(listed.join(sets.select("gav_path", "batch"), "gav_path")):
+            yield with_content(some)
         return
     n = found.count()
-    parts = max(1, math.ceil(n / config.checkpoint_interval)) if config.checkpoint_interval else 1
-    for i in range(parts if n else 0):
-        some = found.where(F.pmod(F.xxhash64("gav_path"), F.lit(parts)) == i)
+    interval = max(config.checkpoint_interval, math.ceil(n / MOST_BATCHES)) if config.checkpoint_interval else max(1, n)
+    batch = F.pmod(F.xxhash64("gav_path"), F.lit(max(1, math.ceil(n / interval)))).alias("batch")
+    for some in dealt(found.select("*", batch)) if n else ():
         yield http.fetch_all(some, options, config.download_concurrency or max(config.concurrency, 64))
 
 

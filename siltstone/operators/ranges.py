@@ -23,3 +23,17 @@ def sums_before(rows: DataFrame, order: tuple[str, ...], value: Column, out: str
     inner = F.coalesce(F.sum("_value").over(before.partitionBy("_range").orderBy(*order)), F.lit(0))
     kept = [F.col(f"`{c}`") for c in rows.columns]
     return dealt.withColumn("_inner", inner).join(F.broadcast(ranges), "_range").select(*kept, (F.col("_base") + F.col("_inner")).alias(out))
+
+
+def running_max(rows: DataFrame, order: tuple[str, ...], value: Column, out: str) -> DataFrame:
+    """Add the largest ``value`` of all rows up to each one in ``order``, itself and its equals included; nulls don't count.
+
+    Done by written ranges, as ``sums_before``.
+    """
+    dealt = rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, scratch_path(rows.sparkSession, "ranges"))
+    ranges = dealt.groupBy("_range").agg(F.max("_value").alias("_max"))
+    ranges = ranges.select("_range", F.max("_max").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    inner = F.max("_value").over(Window.partitionBy("_range").orderBy(*order))
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    return dealt.withColumn("_inner", inner).join(F.broadcast(ranges), "_range").select(*kept, F.greatest("_base", "_inner").alias(out))

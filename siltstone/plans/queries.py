@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
-from siltstone.operators import archive, detect, entropy, lines, listing, rule_table, rules, split, summary
+from siltstone.operators import archive, batching, detect, entropy, lines, listing, rule_table, rules, split, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
 from siltstone.scratch import scratch_path, written
 
@@ -357,6 +357,20 @@ def first_file_per_gav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.first_per_key(rows).select("group_id", "artifact_id", "version", "file_name")
 
 
+BUDGET = 40_000
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT page_id, coalesce(strlen(html), 0) AS size, row_number() OVER (ORDER BY page_id) AS i FROM pages), "
+    f"w AS (SELECT page_id, i, 0::BIGINT AS batch, size AS used FROM p WHERE i = 1 UNION ALL SELECT p.page_id, p.i, CASE WHEN w.used + p.size > {BUDGET} THEN w.batch + 1 ELSE w.batch END, "
+    f"CASE WHEN w.used + p.size > {BUDGET} THEN p.size ELSE w.used + p.size END FROM w JOIN p ON p.i = w.i + 1) SELECT page_id, batch FROM w"
+)
+def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages in batches of at most 40,000 bytes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    return batching.batches_by_bytes(pages, ("page_id",), F.col("size"), BUDGET).select("page_id", "batch")
+
+
 # Rules.
 
 

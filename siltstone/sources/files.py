@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.operators.listing import ARTIFACTS
+from siltstone.operators.split import opened
 
 
 def read_files(spark: SparkSession, root: str, max_bytes: int = 0, suffixes: tuple[str, ...] = ARTIFACTS) -> DataFrame:
@@ -34,3 +36,28 @@ def relative(files: DataFrame, root: str, column: str = "rel_path") -> DataFrame
 
 def _quote(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def with_content(rows: DataFrame) -> DataFrame:
+    """Rows of (path, error, ...) with the ``content`` of their files, read where the rows are; a file that can't be read
+    has an error instead. Rows that come with an error aren't read."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    wire = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                row = batch.slice(i, 1).to_pylist()[0] | {"content": None}
+                if row["error"] is None:
+                    try:
+                        with opened(row["path"]) as file:
+                            row["content"] = file.read()
+                    except OSError as e:
+                        row["error"] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([row], schema=wire)
+
+    return rows.mapInArrow(run, schema)
