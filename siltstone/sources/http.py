@@ -18,7 +18,7 @@ from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader, StringEndsWith, StringStartsWith
 
 from siltstone.operators.listing import is_wanted, parse_listings
 from siltstone.scratch import scratch_path, written
@@ -192,8 +192,10 @@ def walk(spark: SparkSession, root: str, options: Options = Options(), partition
 
 
 class Directory(InputPartition):
-    def __init__(self, path: str, url: str) -> None:
-        self.path, self.url = path, url
+    """A directory to list: with all below it, or ``flat`` for its own files."""
+
+    def __init__(self, path: str, flat: bool) -> None:
+        self.path, self.flat = path, flat
 
 
 def list_page(url: str, options: Options) -> list[tuple[str, bool, str]]:
@@ -213,11 +215,12 @@ def list_page(url: str, options: Options) -> list[tuple[str, bool, str]]:
 class CursorWalk:
     """An ordered depth-first walk that can stop after any file and go on later.
 
-    The cursor is a stack of (directory, next child) pairs, as long as the tree is deep.
+    The cursor is a stack of (directory, next child) pairs, as long as the tree is deep. ``leads`` tells
+    which directories are looked into.
     """
 
-    def __init__(self, root: str, options: Options, cursor: list | None = None) -> None:
-        self.root, self.options = root.rstrip("/") + "/", options
+    def __init__(self, root: str, options: Options, cursor: list | None = None, leads: Callable[[str], bool] = lambda path: True) -> None:
+        self.root, self.options, self.leads = root.rstrip("/") + "/", options, leads
         self.stack = [list(f) for f in cursor] if cursor is not None else [["", 0]]
         self.failed: list[str] = []
         self.errors: dict[str, str] = {}
@@ -245,33 +248,84 @@ class CursorWalk:
             self.stack[-1][1] += 1
             name, is_dir, url = children[at]
             below = f"{path}/{name}" if path else name
-            if is_dir:
-                self.stack.append([below, 0])
-            else:
+            if not is_dir:
                 yield below, url
+            elif self.leads(below):
+                self.stack.append([below, 0])
 
 
 class RepositoryReader(DataSourceReader):
     """Reads (path, url). A directory that can't be listed is an error once the others have been read, or
-    with the option ``failures`` set to ``rows`` a row (path, null, error)."""
+    with the option ``failures`` set to ``rows`` a row (path, null, error).
+
+    Conditions on the path's start (or the whole path) decide what is listed: nothing outside is asked for, and the walk
+    starts at the deepest directory they name. Those on its end leave out files. Directories are split into
+    partitions below that start, level by level, until there are ``splits`` of them. Spark looks at every condition
+    again. Listings give no sizes, so a condition on size has nothing to be pushed to; ``maxbytes`` holds at download.
+    """
 
     def __init__(self, options: dict) -> None:
         self.root = options["path"].rstrip("/") + "/"
         self.options, self.as_rows = http_options(options), failures_as_rows(options)
+        self.splits = int({k.lower(): v for k, v in options.items()}.get("splits", 32))
+        self.starts: list[str] = []
+        self.ends: list[str] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("path",) and isinstance(getattr(f, "value", None), str):
+                if isinstance(f, StringStartsWith | EqualTo):
+                    self.starts.append(f.value)
+                if isinstance(f, StringEndsWith | EqualTo):
+                    self.ends.append(f.value)
+            yield f
+
+    def leads(self, path: str) -> bool:
+        """Whether what is below a directory can have the wanted start."""
+        below = path + "/" if path else ""
+        return all(below.startswith(s) or s.startswith(below) for s in self.starts)
+
+    def wanted(self, path: str) -> bool:
+        return all(map(path.startswith, self.starts)) and all(map(path.endswith, self.ends))
+
+    def url(self, path: str) -> str:
+        return self.root + (path + "/" if path else "")
 
     def partitions(self) -> list[Directory]:
-        """One for each child of the root, besides the root's own files."""
-        tops = [Directory(name, url) for name, is_dir, url in list_page(self.root, self.options) if is_dir]
-        return [Directory("", self.root), *tops]
-
-    def read(self, partition: Directory) -> Iterator[tuple]:
+        start = max(self.starts, key=len, default="").rpartition("/")[0]
+        if not self.leads(start):
+            return []
+        whole, level = [], [start]
+        while level and len(level) < self.splits:
+            below = []
+            for path in level:
+                try:
+                    children = list_page(self.url(path), self.options)
+                except Exception as e:
+                    if path == start and getattr(e, "status", None) == 404 and self.starts:
+                        return []  # no such directory, so nothing lies in it
+                    if not path:
+                        raise
+                    below.append((path, False))  # its task reports it
+                    continue
+                whole.append(Directory(path, True))
+                below += [(f"{path}/{name}" if path else name, True) for name, is_dir, _ in children if is_dir]
+            whole += [Directory(p, False) for p, listed in below if not listed]
+            level = [p for p, listed in below if listed and self.leads(p)]
+        return whole + [Directory(p, False) for p in level]
+
+    def read(self, partition: Directory | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark reads when there are no partitions
+            return
         more = (None,) if self.as_rows else ()
-        if not partition.path:
-            yield from ((name, url, *more) for name, is_dir, url in list_page(self.root, self.options) if not is_dir)
+        top = partition.path + "/" if partition.path else ""
+        if partition.flat:
+            pages = ((top + name, url) for name, is_dir, url in list_page(self.url(partition.path), self.options) if not is_dir)
+            yield from ((p, url, *more) for p, url in pages if self.wanted(p))
             return
-        walk = CursorWalk(partition.url, self.options)
-        yield from ((f"{partition.path}/{p}", url, *more) for p, url in walk.files())
-        bad = [(f"{partition.path}/{p}".rstrip("/"), walk.errors[p]) for p in walk.failed]
+        walk = CursorWalk(self.url(partition.path), self.options, leads=lambda p: self.leads(top + p))
+        yield from ((top + p, url, *more) for p, url in walk.files() if self.wanted(top + p))
+        bad = [((top + p).rstrip("/"), walk.errors[p]) for p in walk.failed]
         if self.as_rows:
             yield from ((p, None, e) for p, e in bad)
         elif bad:
@@ -341,3 +395,4 @@ def http_options(options: dict) -> Options:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RepositorySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
