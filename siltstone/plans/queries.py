@@ -19,6 +19,7 @@ from siltstone.functions import scalars
 from siltstone.operators import archive, batching, detect, entropy, lines, listing, rule_table, rules, split, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
 from siltstone.scratch import scratch_path, written
+from siltstone.streaming import attempts as attempt_stream
 
 from . import report, scan, state, store, tasks
 
@@ -357,6 +358,26 @@ def first_file_per_gav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.first_per_key(rows).select("group_id", "artifact_id", "version", "file_name")
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts on artifacts: a purchase is a success, everything else a failure."""
+    events = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 7).cast("string"))
+    return events.select(path.alias("gav_path"), F.col("event_id").alias("attempt"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "purchase").alias("ok"), F.col("event_type").alias("error"))
+
+
+@query(
+    "WITH a AS (SELECT concat('u', user_id, '/', event_id % 7) AS gav_path, event_type = 'purchase' AS ok, event_type AS error, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id) AS i FROM events), "
+    "f AS (SELECT gav_path, min(i) FILTER (WHERE ok) AS first_ok, count(*) AS n FROM a GROUP BY 1), "
+    "s AS (SELECT gav_path, CASE WHEN coalesce(first_ok - 1, n) >= 3 THEN 'given up' WHEN first_ok IS NOT NULL THEN 'complete' ELSE 'failed' END AS status, CAST(least(coalesce(first_ok - 1, n), 3) AS INTEGER) AS retries FROM f) "
+    "SELECT s.gav_path, status, retries, CASE WHEN status <> 'complete' THEN a.error END AS error FROM s LEFT JOIN a ON a.gav_path = s.gav_path AND a.i = s.retries"
+)
+def retry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every artifact, kept by a stream in four batches."""
+    kept = scratch_path(spark, "states")
+    attempt_stream.keep_states(attempt_stream.replayed(attempts(spark, sf_dir), 4), kept, scratch_path(spark, "states-checkpoint")).awaitTermination()
+    return attempt_stream.current_states(spark, kept).select("gav_path", "status", "retries", "error")
+
+
 BUDGET = 40_000
 
 
