@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import os
 import zipfile
 from collections.abc import Callable
 
@@ -19,6 +20,7 @@ from siltstone.functions import scalars
 from siltstone.operators import archive, batching, detect, entropy, lines, listing, rule_table, rules, split, summary
 from siltstone.operators.corpus import corpus_sql, secret_lines
 from siltstone.scratch import scratch_path, written
+from siltstone.sources import json_array
 from siltstone.streaming import attempts as attempt_stream
 
 from . import report, scan, state, store, tasks
@@ -720,11 +722,13 @@ def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, f AS ({findings_sql(rules.CORE)}) SELECT count(*) AS n, md5(string_agg(k || rule_id || {CUT.format('m', 100)}, ',' ORDER BY k, rule_id, {CUT.format('m', 100)})) AS digest FROM f")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings through the JSON export and back."""
+    """Findings through the sink of the JSON export and back."""
     found = detect.detect(corpus(spark, sf_dir), rules.CORE)
     rows = found.select(F.concat_ws(":", "group_id", "artifact_id", "version").alias("gav"), F.lit("r").alias("repo_url"), "group_id", "artifact_id", "version", "rule_id", "rule_name", "severity", F.concat(F.col("k").cast("string"), F.lit("/"), "file_path").alias("file_path"), "line_number", "line_content", "match")
-    text = report.export_json(rows)
-    back = text.select(F.explode(F.from_json("json", "array<struct<file_path:string,rule_id:string,match:string>>")).alias("f")).select(F.split("f.file_path", "/")[0].cast("long").alias("k"), "f.rule_id", "f.match")
+    path = json_array.local(scratch_path(spark, "report") + ".json")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    report.write_export(rows.repartitionByRange("severity", "file_path").sortWithinPartitions("severity", "file_path"), path)
+    back = json_array.read_array(spark, f"file://{path}", "file_path string, rule_id string, match string").select(F.split("file_path", "/")[0].cast("long").alias("k"), "rule_id", "match")
     lines_ = F.sort_array(F.collect_list(F.struct("k", "rule_id", "match")))
     joined = F.array_join(F.transform(lines_, lambda x: F.concat(x["k"].cast("string"), x["rule_id"], x["match"])), ",")
     return back.agg(F.count("*").alias("n"), F.md5(joined).alias("digest"))

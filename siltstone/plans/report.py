@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
 from collections.abc import Iterable
 from datetime import datetime
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.summary import summary_text
+from siltstone.scratch import scratch_path
+from siltstone.sources.json_array import local, write_array
 
 DETAIL = ("artifact", "file_path", "rule_id", "rule_name", "severity", "line_number", "line_content", "match", "description")
 COLORS = {"CRITICAL": "1;31", "HIGH": "31", "MEDIUM": "33", "LOW": "36"}
@@ -71,22 +74,16 @@ EXPORTED = ("gav", "repo_url", "rule_id", "rule_name", "severity", "file_path",
 
 
 def write_export(rows: DataFrame, path: str = "-") -> None:
-    """All findings as one JSON array, null if there are none, in the order of ``rows``. The driver
-    holds one partition's rows at a time; a file is there once it is whole."""
-
-    def put(out) -> None:
-        some = False
-        for r in rows.select(F.to_json(F.struct(*EXPORTED)).alias("json")).toLocalIterator():
-            out.write(("," if some else "[") + r.json)
-            some = True
-        out.write("]\n" if some else "null\n")
-
+    """All findings as one JSON array, null if there are none, in the order of ``rows``. Tasks write the rows and the driver
+    joins their files; the file is there once it is whole."""
+    whole = path if path not in ("", "-") else local(scratch_path(rows.sparkSession, "export"))
+    if path in ("", "-"):
+        os.makedirs(os.path.dirname(whole), exist_ok=True)
+    write_array(rows.select(*EXPORTED), whole)
     if path in ("", "-"):
-        put(sys.stdout)
-        return
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        put(f)
-    os.replace(f"{path}.tmp", path)
+        with open(whole, encoding="utf-8") as f:
+            shutil.copyfileobj(f, sys.stdout)
+        os.remove(whole)
 
 
 def export_json(rows: DataFrame) -> DataFrame:
