@@ -147,8 +147,7 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
         part = scan.scan_files(files, loaded, carried=scan.CARRIED, into=f"{rows}/{i:08d}")
         history.save(*scan.history_rows(part, config.repo_url, now()))
         parts.append(f"{rows}/{i:08d}")
-        done_now = summary.scan_totals(part.results).first()
-        current |= {k: current[k] + done_now[k] for k in before}
+        current |= {k: current[k] + part.totals[k] for k in before}
         state.save(current | {"status": "running"}, path)
     result = scan.result_of(spark.read.parquet(*parts) if parts else scan.scan_rows(found.limit(0).withColumn("content", F.lit(b"")), loaded, carried=scan.CARRIED), scan.CARRIED)
     total = result.summary.first()

@@ -13,11 +13,11 @@ import os
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars
-from siltstone.operators import archive, batching, detect, entropy, lines, listing, rule_table, rules, split, summary
+from siltstone.operators import archive, batching, detect, entropy, lines, listing, rule_table, rules, split, summary, table_function
 from siltstone.operators.corpus import corpus_sql, secret_lines
 from siltstone.scratch import scratch_path, written
 from siltstone.sources import json_array
@@ -354,6 +354,18 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.walk_places(repo_files(spark, sf_dir).select("path").distinct())
 
 
+@query(
+    f"WITH {FILES_SQL}, a AS (SELECT DISTINCT path FROM files), r AS (SELECT CAST(c_custkey AS VARCHAR) AS run, string_split(concat('org/g', c_custkey % 57, '/a', c_custkey % 41, '/1.', c_custkey % 7, '/a', c_custkey % 40, '.jar'), '/')[:1 + c_custkey % 5] AS cursor FROM customer) "
+    "SELECT run, count(path) AS files_left, arg_min(path, string_split(path, '/')) AS next_path FROM r LEFT JOIN a ON string_split(a.path, '/') > r.cursor GROUP BY run"
+)
+def files_left_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of many interrupted runs has left of the files."""
+    c = F.col("c_custkey")
+    path = F.concat_ws("", F.lit("org/g"), c % 57, F.lit("/a"), c % 41, F.lit("/1."), c % 7, F.lit("/a"), c % 40, F.lit(".jar"))
+    runs = table(spark, sf_dir, "customer").select(c.cast("string").alias("run"), F.slice(F.split(path, "/"), F.lit(1), (1 + c % 5).cast("int")).alias("cursor"))
+    return state.files_left(repo_files(spark, sf_dir).select("path").distinct(), runs)
+
+
 @query(f"WITH {FILES_SQL}, a AS (SELECT {PARTS}, regexp_extract(path, '[^/]*$') AS file_name FROM files WHERE {ARTIFACT}) SELECT group_id, artifact_id, version, min(file_name) AS file_name FROM a GROUP BY ALL")
 def first_file_per_gav(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listing.artifacts(repo_files(spark, sf_dir), include_sources=True)
@@ -573,7 +585,7 @@ def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TASKS_SQL} SELECT task_id, row_number() OVER (ORDER BY next_run_at NULLS FIRST, task_id) AS place FROM tsk WHERE status = 'active' AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '{NOW}')")
 def tasks_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tasks.due(task_rows(spark, sf_dir), datetime.datetime.fromisoformat(NOW))
-    return rows.select("task_id", F.row_number().over(Window.orderBy(F.col("next_run_at").asc_nulls_first(), "task_id")).cast("long").alias("place"))
+    return tasks.placed(rows, F.col("next_run_at").asc_nulls_first(), "task_id").select("task_id", "place")
 
 
 @query(f"WITH {TASKS_SQL} SELECT task_id, scan_count + 1 AS scan_count, CASE WHEN scan_interval_sec > 0 THEN epoch(TIMESTAMP '{NOW}' + to_seconds(scan_interval_sec))::BIGINT ELSE -1 END AS next_run, CASE WHEN scan_interval_sec > 0 THEN 'active' ELSE 'completed' END AS status FROM tsk")
@@ -585,7 +597,7 @@ def tasks_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TASKS_SQL} SELECT task_id, created_at, row_number() OVER (ORDER BY created_at DESC, task_id) AS place FROM tsk WHERE status = 'paused'")
 def tasks_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tasks.listed(task_rows(spark, sf_dir), "paused")
-    return rows.select("task_id", "created_at", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "task_id")).cast("long").alias("place"))
+    return tasks.placed(rows, F.col("created_at").desc(), "task_id").select("task_id", "created_at", "place")
 
 
 @query("SELECT p_partkey AS k, p_size::BIGINT * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM part")
@@ -706,6 +718,20 @@ def custom_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(doc_lines(spark, sf_dir), [rule], {"shout": detect.python_engine(shouted)}, gated=False).select("doc_id", "line_number", "match")
 
 
+@query(f"WITH {DOC_LINES} SELECT doc_id, line_number, unnest(regexp_extract_all(line, '[A-Z][A-Z]+!!')) AS match FROM doc_lines")
+def custom_engine_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine of ``custom_engine`` as a table function of SQL."""
+
+    def shouted(line: str) -> list[str]:
+        import re
+
+        return re.findall("[A-Z][A-Z]+!!", line)
+
+    table_function.register_engine(spark, "shouted", shouted)
+    doc_lines(spark, sf_dir).select("doc_id", "line_number", "line").createOrReplaceTempView("shouted_lines")
+    return spark.sql("SELECT doc_id, line_number, match FROM shouted(TABLE(shouted_lines) PARTITION BY doc_id)")
+
+
 @query(f"WITH {CORPUS}, f AS ({findings_sql(REGEX_ALL)}) SELECT k, rule_id, {CUT.format('m', 100)} AS match FROM f")
 def streaming_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a file stream, scanned in micro-batches into a table."""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
@@ -31,10 +31,11 @@ CARRIED = ("group_id", "artifact_id", "version", "gav", "gav_path", "file_name")
 
 @dataclass
 class ScanResult:
-    """Findings, one row per artifact file, and the one-row summary."""
+    """Findings, one row per artifact file, and the one-row summary; ``totals`` were observed by the write of the rows."""
 
     findings: DataFrame
     results: DataFrame
+    totals: dict | None = None
 
     @property
     def summary(self) -> DataFrame:
@@ -95,8 +96,15 @@ def scan_files(files: DataFrame, rules: Sequence[Rule], limits: Limits = Limits(
     ``carried`` columns; results have status, error and findings_count of every file. A file that comes
     with an ``error`` (a failed download) is a failed result.
     """
-    rows = written(scan_rows(files, rules, limits, engines, carried, large), into or scratch_path(files.sparkSession, "scan"))
-    return result_of(rows, carried)
+    seen = Observation()
+    rows = written(scan_rows(files, rules, limits, engines, carried, large).observe(seen, *totals_of_rows()), into or scratch_path(files.sparkSession, "scan"))
+    return replace(result_of(rows, carried), totals=seen.get)
+
+
+def totals_of_rows() -> list[Column]:
+    """The totals of a scan from its rows: each file has one row without a path, and one with an error if it failed."""
+    file, bad, found = F.col("rule_id").isNull() & F.col("file_path").isNull(), F.col("rule_id").isNull() & F.col("_error").isNotNull(), F.col("rule_id").isNotNull()
+    return [F.count_if(file).alias("total_discovered"), (F.count_if(file) - F.count_if(bad)).alias("total_scanned"), F.count_if(bad).alias("total_failed"), F.count_if(found).alias("total_findings")]
 
 
 def discover(spark: SparkSession, config: Config) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Config
 from siltstone.operators.ranges import sums_before
+from siltstone.scratch import scratch_path, written
 
 VERSION = 1
 STATUSES = ("running", "completed", "interrupted", "finished")
@@ -101,6 +102,22 @@ def revisit(rows: DataFrame, pending_dirs: DataFrame, key: str = "gav_path") ->
     return rows.join(hit, key, "left_semi").select(*rows.columns)
 
 
+def files_left(files: DataFrame, cursors: DataFrame, path: str = "path") -> DataFrame:
+    """(run, files_left, next_path) for each interrupted walk of (run, cursor): how many files lie behind its cursor, the parts
+    of the last path it saw, in the order of the walk, and the first of them.
+
+    Files and cursors are laid out together in walk order; what is left follows from the number of files before each
+    cursor, a running sum over ranges, so files and cursors are never compared in pairs. A null cursor has all files left.
+    """
+    rows = files.select(F.split(path, "/").alias("parts"), F.lit(0).alias("asks"), F.col(path).alias("path"), F.lit(None).cast("string").alias("run"))
+    asks = cursors.select(F.coalesce("cursor", F.array().cast("array<string>")).alias("parts"), F.lit(1).alias("asks"), F.lit(None).cast("string").alias("path"), F.col("run").cast("string").alias("run"))
+    every = rows.unionByName(asks)
+    seen = written(sums_before(every, ("parts", "asks"), 1 - F.col("asks"), "seen"), scratch_path(files.sparkSession, "walks"))
+    total = seen.where("asks = 0").agg(F.count("*").alias("n")).select("n").scalar()
+    following = seen.where("asks = 0").select(F.col("seen").alias("at"), F.col("path").alias("next_path")).groupBy("at").agg(F.min("next_path").alias("next_path"))
+    return seen.where("asks = 1").join(following, F.col("seen") == F.col("at"), "left").select("run", (total - F.col("seen")).alias("files_left"), "next_path")
+
+
 def retryable(failed: DataFrame, most: int = 3) -> DataFrame:
     """Failed artifacts that may be tried again; 0 means without end."""
     return failed.where(F.lit(most <= 0) | (F.col("retries") < most))

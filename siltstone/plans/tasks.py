@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.operators.ranges import sums_before
 
 SCHEMA = (
     "id long, task_id string, repo_url string, group_filter string, config string, scan_interval_sec long, status string, state_file string, "
@@ -43,6 +44,11 @@ def listed(tasks: DataFrame, status: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("created_at").desc(), "task_id")
 
 
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """Add ``place``, from 1, in an order that tells the rows apart, by ranges and not in one task."""
+    return sums_before(rows, order, F.lit(1).cast("long"), "_before").withColumn("place", F.col("_before") + 1).drop("_before")
+
+
 def after_run(tasks: DataFrame, ran_at, run_status: str, preserve_paused: bool = False) -> DataFrame:
     """The tasks as they stand after a run: one-shot ones are completed, recurring ones active again
     (``preserve_paused``: paused ones stay so) and due one interval later."""
