@@ -37,8 +37,9 @@ TAG = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMES = frozenset("class id role itemprop".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[a-z]+", re.I)
 
 BLOCK = frozenset(
@@ -61,10 +62,16 @@ APART_WORDS = frozenset(
 )
 #: Those among them that don't count where words for the article stand beside them.
 WEAK_WORDS = frozenset("header masthead popular trending legal rating feedback tags toc search overlay notice".split())
+#: Words of no weight that names of page parts are made with. A name with any other word, as "social-history", tells little.
+PART_WORDS = frozenset(
+    "site page box block list section container wrapper wrap inner outer top bottom left right col column row area panel bar item items links link group "
+    "module body text title head heading articles posts stories entries form button buttons primary secondary global local mobile desktop fixed sticky thread user users reader readers".split()
+)
 #: The same for the article itself.
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody".split())
 SLIGHT_WORDS = frozenset("byline meta author date dateline timestamp caption credit".split())
+KNOWN_WORDS = APART_WORDS | PART_WORDS | MAIN_WORDS | SLIGHT_WORDS
 #: Opening one of these closes an open element of the listed kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("optgroup", "option")}
 FENCE = frozenset("ul ol dl table select body html div article section main aside nav footer header form".split())
@@ -75,22 +82,27 @@ NEAR, SIBLING = 1.5, 0.75
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "apart", "worded", "main", "slight")
+    __slots__ = ("tag", "parent", "depth", "home", "apart", "worded", "loose", "main", "slight")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.home: Element = self if parent is None or tag in BLOCK else parent.home  # the innermost block element
         inside = parent.main if parent else False
         apart, slight = parent.apart if parent else False, parent.slight if parent else False
-        worded = parent.worded if parent else False
+        worded, loose = parent.worded if parent else False, False
         main = inside
         if tag in APART or tag in SILENT or (tag == "header" and not inside):
             apart = True
         elif tag in MAIN:
             main = True
-        if attributes and tag not in ("html", "body"):
-            for _, a, b, c in NAMED.findall(attributes):
-                words = {w.lower() for w in WORDS.findall(a or b or c)}
+        for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes and tag not in ("html", "body") else ():
+            name, value = name.lower(), a or b or c
+            if name in NAMES:
+                tokens = [{w.lower() for w in WORDS.findall(token)} for token in value.split()]
+                # Words of a name that only page parts have count; in other names they are a hint.
+                words = set().union(*(t for t in tokens if t <= KNOWN_WORDS))
+                loose = loose or any(t & APART_WORDS for t in tokens if not t <= KNOWN_WORDS)
                 against = words & APART_WORDS
                 if against - WEAK_WORDS or (against and not words & MAIN_WORDS and not (inside and "header" in against)):
                     worded = True
@@ -98,9 +110,12 @@ class Element:
                     slight = True
                 elif words & MAIN_WORDS:
                     main = True
-            if "hidden" in attributes or "display" in attributes:
-                apart = apart or bool(HIDDEN.search(attributes))
-        self.apart, self.worded, self.main, self.slight = apart, worded, main, slight
+                apart = apart or name == "class" and {"hidden"} in tokens
+            elif name == "hidden" or name == "aria-hidden":
+                apart = apart or value.lower() == "true" or name == "hidden" and value.lower() != "false"
+            elif name == "style":
+                apart = apart or bool(UNSEEN.search(value))
+        self.apart, self.worded, self.loose, self.main, self.slight = apart, worded, loose or (parent is not None and parent.loose and tag not in MAIN), main, slight
 
 
 def blocks_of(html: str) -> list[tuple[str, Element, float]]:
@@ -123,8 +138,7 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
             text = " ".join(text.split())
             if text:
                 inside = " ".join(unescape("".join(linked)).split()) if linked else ""
-                home = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                found.append((text, home, min(1.0, len(inside) / len(text))))
+                found.append((text, stack[-1].home, min(1.0, len(inside) / len(text))))
             parts, linked = [], []
 
     def cut(i: int) -> None:
@@ -205,7 +219,7 @@ def blocks_of(html: str) -> list[tuple[str, Element, float]]:
 
 
 FEATURES = (
-    "bias", "length", "one_word", "sentence", "linked", "all_linked", "heading", "item", "main", "apart", "worded", "slight", "rights", "plain_sentence", "linked_outside", "apart_inside", "rights_inside",
+    "bias", "length", "one_word", "sentence", "linked", "all_linked", "heading", "item", "main", "apart", "worded", "slight", "rights", "plain_sentence", "linked_outside", "apart_inside", "rights_inside", "loose",
 )
 
 
@@ -217,7 +231,7 @@ def features(text: str, home: Element, links: float) -> tuple[float, ...]:
     rights = "©" in text or (words < 30 and "rights reserved" in text.lower())
     return (
         1.0, log(words), words == 1, sentence, links, links > 0.9, home.tag in HEADINGS, home.tag in ("li", "dd", "dt", "td", "th"), home.main, home.apart, home.worded, home.slight, rights,
-        sentence and not home.main and not away, links * (not home.main), home.main and away, rights and home.main,
+        sentence and not home.main and not away, links * (not home.main), home.main and away, rights and home.main, home.loose,
     )
 
 

@@ -7,11 +7,15 @@ form: where a block stands, its element, its length, its links. ``FIT_PAGES`` pa
 from __future__ import annotations
 
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
 
 FIT_PAGES = 400
+#: Innocent names that hold a word of page parts, and names of lists of comments.
+MISLEADING = ["hidden-gem", "comment-on-law", "social-history", "menu-of-the-day", "search-for-truth", "cookie-recipe", "sharing-economy", "related-work", "notice-period", "footer-theorem", "ad-hoc"]
+COMMENTS = ["comments", "comment-list", "commentlist", "replies", "disqus_thread", "user-comments"]
 AROUND = ["menu", "sidebar", "site-header", "footer", "cookie-notice", "ad", "advert", "promo banner", "newsletter", "social share", "related", "breadcrumb", "widget", "masthead", "pagination"]
 
 
@@ -27,7 +31,22 @@ def _line(r: random.Random, initial: str, n: int, stop: bool) -> str:
 
 
 def _block(r: random.Random) -> str:
-    """One or a few blocks of main text."""
+    """One or a few blocks of main text; now and then one with a misleading name."""
+    made = _plain_block(r)
+    if r.random() < 0.1 and made.startswith(("<p>", "<ul>", "<blockquote>")):
+        made = re.sub(r"^<(\w+)>", rf'<\1 {r.choice(["class", "id"])}="{r.choice(MISLEADING)}">', made)
+    return made
+
+
+def _comments(r: random.Random) -> str:
+    """A list of reader comments, as it stands below an article or in it."""
+    lines = [_line(r, "z", r.choice([2, r.randint(4, 40)]), r.random() < 0.8) for _ in range(r.randint(1, 6))]
+    outer, inner = r.choice([("ol", "li"), ("ul", "li"), ("div", "p"), ("section", "p")])
+    items = "".join(f"<{inner}>{r.choice(['', '<p>']) if inner == 'li' else ''}{x}</{inner}>" for x in lines)
+    return f'<{outer} {r.choice(["class", "id"])}="{r.choice(COMMENTS)}">{r.choice(["", "<h3>Zomments</h3>"])}{items}</{outer}>'
+
+
+def _plain_block(r: random.Random) -> str:
     kind = r.random()
     if kind < 0.5:
         text = _line(r, "k", r.randint(8, 90), r.random() < 0.95)
@@ -61,7 +80,7 @@ def _other(r: random.Random, inside: bool) -> str:
     text = f"<p>{_line(r, 'z', r.randint(2, 30), r.random() < 0.8)}</p>"
     named = f'<div class="{r.choice(AROUND)}">{r.choice([text, _links(r, r.randint(2, 6)), text[3:-4]])}</div>'
     if inside:
-        return r.choice([named, f"<aside>{text}</aside>", f'<form>{text}<input><button>{_line(r, "z", 1, False)}</button></form>'])
+        return r.choice([_comments(r), named, f"<aside>{text}</aside>", f'<form>{text}<input><button>{_line(r, "z", 1, False)}</button></form>'])
     tag = r.choice(["nav", "header", "footer", "aside"])
     rights = f"{r.choice(['&copy; ', ''])}{_line(r, 'z', r.randint(1, 10), True)} {r.choice(['', 'All rights reserved.'])}"
     bare = r.choice([
@@ -83,6 +102,8 @@ def pages(n: int = FIT_PAGES, seed: int = 17) -> list[str]:
             if r.random() < 0.08:
                 body.append(_other(r, True))
         around = [[_other(r, False) for _ in range(r.randint(0, 3))] for _ in range(2)]
+        if r.random() < 0.2:
+            r.choice([body, around[1]]).append(_comments(r))
         if r.random() < 0.3:
             around[1].insert(0, f'<section class="comments"><p>{_line(r, "z", r.randint(4, 50), True)}</p><p>{_line(r, "z", r.randint(4, 20), True)}</p></section>')
         made.append(f"<html><head><title>z</title></head><body>{''.join(around[0])}{start}{''.join(body)}{end}{''.join(around[1])}</body></html>")

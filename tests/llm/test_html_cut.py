@@ -56,3 +56,39 @@ def test_whole_articles_of_the_pages(spark, sf_dir):
     for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         inside = re.sub(r"<[a-z/][^<>]*>", " ", p.html.split("<article>")[1].split("</article>")[0])
         assert rows[p.page_id].split() == unescape(inside).split()
+
+
+def test_comments_inside_the_article_go():
+    text = "Article text is here, with several words in it."
+    for outer, inner in (("ol", "li"), ("ul", "li"), ("div", "p"), ("section", "p")):
+        for name in ('id="comments"', 'class="comment-list"', "class='replies'", "id=disqus_thread"):
+            comments = f"<{outer} {name}><{inner}>Reader says something long enough to be text.</{inner}><{inner}>Short one.</{inner}></{outer}>"
+            for tag in ("main", "article", "div"):
+                assert html_extract.main_text(f"<{tag}><p>{text}</p><p>{text}</p>{comments}</{tag}>")[0] == f"{text}\n{text}", (outer, name, tag)
+
+
+def test_names_that_mislead_are_kept():
+    first = "The first paragraph of the article stands here, with words."
+    for name in ('class="hidden-gem"', 'id="comment-on-law"', 'class="social-history"', "class='share-of-voice x'", 'id="advert-history"', 'data-state="hidden"', 'title="hidden"'):
+        for tag, end in (("article", "article"), ("main", "main")):
+            page = f"<{tag}><p>{first}</p><p {name}>This one is kept, whatever its name is.</p></{end}>"
+            assert html_extract.main_text(page)[0] == f"{first}\nThis one is kept, whatever its name is.", name
+
+
+def test_what_is_hidden_goes():
+    for attribute in ("hidden", 'hidden=""', "class='hidden'", 'style="display:none"', "style='color:red; display : none'", 'aria-hidden="true"', "hidden class=x"):
+        assert html_extract.main_text(f"<article><p>Text that is seen is here.</p><p {attribute}>This is not seen, as it is hidden.</p></article>")[0] == "Text that is seen is here.", attribute
+    assert "kept" in html_extract.main_text('<article><p>Text that is seen is here.</p><p aria-hidden="false">This is kept, too.</p></article>')[0]
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.main_text("x<b><hr>" * n)
+        return time.perf_counter() - start
+
+    html_training.weights()
+    small, large = seconds(5_000), seconds(20_000)  # 160 KB
+    assert large < 12 * small + 0.5
