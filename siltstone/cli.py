@@ -114,7 +114,7 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
     config.validate()
     path, done, todo = os.path.join(home, config.state_file), None, None
     os.makedirs(home, exist_ok=True)
-    history = store.Store(spark, os.path.join(home, "history"))
+    history, tried = store.Store(spark, os.path.join(home, "history")), os.path.join(home, "attempts")
     current = state.new_state(config, uuid.uuid4().hex[:12])
     if config.resume and os.path.exists(path):
         current = state.load(path)
@@ -124,6 +124,8 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
         if config.retry_failed:
             known = known.where("status = 'complete'")
         done = known.select(gav_path(F.col("group_id"), F.col("artifact_id"), F.col("version")).alias("gav_path"))
+        if config.retry_failed:  # what has failed too often isn't tried again
+            done = done.unionByName(state.exhausted(state.attempts(spark, tried).where(F.col("repo_url") == config.repo_url)).select("gav_path"))
         if current["failed_dirs"]:
             todo = spark.createDataFrame([(p,) for p in current["failed_dirs"]], "gav_path string")
     state.save(current | {"status": "running"}, path)
@@ -146,6 +148,7 @@ def run_scan(spark: SparkSession, config: Config, home: str) -> int:
     for i, files in enumerate(batches(found, config, options)):
         part = scan.scan_files(files, loaded, carried=scan.CARRIED, into=f"{rows}/{i:08d}")
         history.save(*scan.history_rows(part, config.repo_url, now()))
+        state.add_attempts(part.results, config.repo_url, now(), tried)
         parts.append(f"{rows}/{i:08d}")
         current |= {k: current[k] + part.totals[k] for k in before}
         state.save(current | {"status": "running"}, path)
@@ -218,6 +221,8 @@ def run_task(args, config: Config, spark: SparkSession) -> int:
 
 def show_history(args, spark: SparkSession) -> int:
     s = store.Store(spark, os.path.join(args.home, "history"))
+    if args.expire_days > 0:
+        s.expire(now(), args.expire_days)
     recs, found = s.read("records"), s.read("findings")
     store.stats(recs, found).show()
     summary.by_rule(found).show(1000, False)
@@ -249,6 +254,7 @@ def main(argv: list[str] | None = None) -> int:
     h = commands.add_parser("history", parents=[base])
     h.add_argument("--limit", type=int, default=20)
     h.add_argument("--export", default="")
+    h.add_argument("--expire-days", type=int, default=0, help="first delete records older than this, with their findings")
     r = commands.add_parser("rules", parents=[base])
     r.add_argument("--rules-level", default="all")
     r.add_argument("--rules-file", default="")

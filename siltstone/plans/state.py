@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
@@ -123,6 +123,26 @@ def retryable(failed: DataFrame, most: int = 3) -> DataFrame:
     return failed.where(F.lit(most <= 0) | (F.col("retries") < most))
 
 
+ATTEMPTS = "repo_url string, gav_path string, at timestamp, ok boolean, error string"
+
+
+def add_attempts(results: DataFrame, repo_url: str, at, path: str) -> None:
+    """Append what became of each artifact of a batch to the table of attempts."""
+    made = results.groupBy("gav_path").agg(F.max(F.col("status") == "failed").alias("bad"), F.first("error", ignorenulls=True).alias("error"))
+    made.select(F.lit(repo_url).alias("repo_url"), "gav_path", F.lit(at).cast("timestamp").alias("at"), (~F.col("bad")).alias("ok"), "error").write.mode("append").parquet(path)
+
+
+def attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The table of attempts; empty before the first."""
+    return spark.read.schema(ATTEMPTS).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], ATTEMPTS)
+
+
+def exhausted(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """Artifacts that never succeeded and failed too often to be tried again, with their retries."""
+    tried = attempts.groupBy("gav_path").agg(F.count_if(~F.col("ok")).alias("retries"), F.max("ok").alias("ok")).where("not ok").drop("ok")
+    return not_in(tried, retryable(tried, most))
+
+
 def add_new(existing: DataFrame, more: DataFrame, key: str = "gav_path") -> DataFrame:
     """``existing`` and those rows of ``more`` whose key is new."""
     return existing.unionByName(not_in(more, existing, key))

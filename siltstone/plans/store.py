@@ -13,6 +13,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.scratch import scratch_path, written
+
+#: The status of a record that marks a deletion; no reader sees it.
+DELETED = "deleted"
 KEY = ("group_id", "artifact_id", "version", "repo_url")
 RECORDS = "id long, group_id string, artifact_id string, version string, repo_url string, status string, findings_count long, scan_time timestamp, duration_ms long, error string, rule_matches array<string>, file_hash string"
 FINDINGS = "id long, record_id long, rule_id string, rule_name string, severity string, file_path string, line_number int, line_content string, match string"
@@ -160,7 +164,8 @@ class Store:
 
     def _current(self, names: list[str]) -> DataFrame:
         w = Window.partitionBy(*KEY).orderBy(F.desc("batch"), F.desc_nulls_last("scan_time"))
-        return self._all("records", names).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        last = self._all("records", names).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        return last.where(~F.col("status").eqNullSafe(F.lit(DELETED)))
 
     def read(self, table: str, names: list[str] | None = None) -> DataFrame:
         """``records`` or ``findings`` as they stand, or as the named batches give them."""
@@ -184,6 +189,15 @@ class Store:
         if len(self._batches()) > self.merge_every:
             self.compact()
 
+    def expire(self, now, days: int) -> None:
+        """Delete the records older than ``days`` and their findings: a batch marks them as deleted, and what it marks is
+        gone from the folder with the second merge after it."""
+        every, none = self.read("records"), self.read("findings").limit(0)
+        kept, _ = delete_older(every, none, now, days)
+        old = written(every.join(kept.select("id"), "id", "left_anti").select(*every.columns), scratch_path(self.spark, "expired"))
+        if not old.isEmpty():
+            self.save(old.withColumn("status", F.lit(DELETED)), none)
+
     def compact(self) -> None:
         """One base batch in place of the batches below every number under way; those that the last
         merge replaced are deleted."""

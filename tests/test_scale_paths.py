@@ -133,3 +133,30 @@ def test_task_options(spark):
     assert got[2].c.qps == 1.5 and "auth_token" not in got[2].c.asDict() and got[3].c.concurrency is None and got[4].c is None
     with pytest.raises(ValueError):
         tasks.packed(auth_token=F.lit("x"))
+
+
+def test_expired_records_stay_deleted(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "h"), merge_every=100)
+    for i, days in enumerate((0, 10, 20)):
+        rec, found = batch(spark, f"a{i}", f"rule{i}")
+        s.save(rec.withColumn("scan_time", F.lit(NOW).cast("timestamp") - F.make_interval(days=F.lit(days))), found)
+    s.expire(NOW, 15)
+    again = store.Store(spark, str(tmp_path / "h"))
+    assert rules_of(again) == {"rule0", "rule1"} and again.read("records").count() == 2
+    again.compact()
+    assert rules_of(again) == {"rule0", "rule1"} and again.read("records").count() == 2
+    again.expire(NOW, 5)
+    again.save(*batch(spark, "a2", "rule9"))  # a later scan brings a record back
+    assert rules_of(again) == {"rule0", "rule9"}
+    again.expire(NOW, 5)
+    assert rules_of(again) == {"rule0", "rule9"}
+
+
+def test_attempts_run_out(spark, tmp_path):
+    path = str(tmp_path / "attempts")
+    assert state.exhausted(state.attempts(spark, path)).count() == 0
+    for i in range(4):
+        rows = [("a", "failed", "e"), ("b", "failed" if i < 3 else "complete", None), ("c", "complete", None), ("d", "failed" if i > 1 else "complete", "x"), ("a", "complete", None)] + [("e", "failed", "e")] * (i == 0)
+        state.add_attempts(spark.createDataFrame(rows, "gav_path string, status string, error string"), "r", NOW, path)
+    assert [tuple(r) for r in state.exhausted(state.attempts(spark, path)).collect()] == [("a", 4)]
+    assert state.exhausted(state.attempts(spark, path), most=0).count() == 0
