@@ -15,7 +15,8 @@ most other terms the look into the table; the band is kept exactly.
 
 Edge cases: null text is empty text; a text with fewer than ``FEW`` terms in the lexicon keeps all its
 terms; a text without terms has the empty fingerprint, like only to itself; repeated rows follow one
-another (by text); null ids come last; a single row follows itself; an empty table gives no rows.
+another (by text); null ids come last; a single row follows itself; a very long text is a row like others, whose
+distinct terms a task holds at once; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A pair at the very threshold 0.8 meets in no bucket with probability (1 - 0.8**3
 out by the bits with less than 1e-6; a more similar pair with less.
 
 Edge cases: words and short texts as in ``simhash``; all texts without words are copies of one another;
-rows without a doc_id take no part.
+rows without a doc_id take no part; repeated rows are copies; a very long text is a set like others, held whole
+by the task that hashes it; an empty table gives no rows.
 """
 
 from __future__ import annotations

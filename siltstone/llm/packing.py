@@ -9,7 +9,8 @@ are merged in rounds of ``fan_in`` (each brings less than one window), and the l
 into windows whose lengths are powers of two, which need no padding.
 
 Rows: one per piece. Null and empty texts have the end id only; repeated rows are separate
-documents; an empty table gives no rows; columns other than doc_id and text are not looked at.
+documents; ids of a very long text are looked up in bounded steps and leave window by window; of windows with
+equal room the first is taken; an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ deviations and the threshold are exact over all rows.
 
 Edge cases: null and empty texts have the zero vector and are scored like any other; labels that are
 null or belong to no document are ignored, contradictory ones count as bad; without both kinds of
-label every score is 0.5; repeated rows are scored each; an empty table gives no rows.
+label every score is 0.5; repeated rows are scored each, and equal statistics score alike; very long texts are
+read whole, one at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ all 64 bits. Documents of equal fingerprint are one class from the start and are
 
 Edge cases: null text and text without words have fingerprint zero, linked like any other; fewer
 words than a shingle: the whole sequence is the one shingle; repeated rows get the same fingerprint;
-a null doc_id keeps its row and counts for a component only if no other id is in it; an empty table
-gives no rows; only doc_id and text are looked at.
+a null doc_id keeps its row and counts for a component only if no other id is in it; a very long text
+is hashed whole, in a run of its own; an empty table gives no rows; only doc_id and text are looked at.
 """
 
 from __future__ import annotations

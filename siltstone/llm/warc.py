@@ -11,7 +11,8 @@ is split; what a bucket needs from earlier ones is the last response of each, a
 
 Edge cases: a null URL matches nothing; a null time comes before all others; no earlier response gives
 ``no_response``, other validators ``validator_mismatch``, none to compare ``resolved_unverified``; null
-headers are no headers; repeated rows are resolved each; an empty table gives no rows.
+headers are no headers; repeated rows are resolved each; bodies aren't looked at, so their length doesn't
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
