@@ -296,7 +296,7 @@ class RepositoryReader(DataSourceReader):
         if not self.leads(start):
             return []
         whole, level = [], [start]
-        while level and len(level) < self.splits:
+        while level and (level == [start] or len(level) < self.splits):
             below = []
             for path in level:
                 try:
