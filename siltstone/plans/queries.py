@@ -8,6 +8,7 @@ tasks, ``part`` cached files.
 from __future__ import annotations
 
 import datetime
+import functools
 import io
 import os
 import zipfile
@@ -779,30 +780,46 @@ def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.split("container_path", "/")[2].cast("long").alias("k"), "status", F.coalesce(F.regexp_extract("error", "^[^:]*", 0), F.lit("")).alias("error"), "findings_count")
 
 
+def swelling_jar(n: int) -> bytes:
+    """A jar of ``n`` + 2 small files, the second of which swells too much."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("first.txt", "x")
+        z.writestr("swollen.txt", "a" * 60_000)
+        for i in range(n):
+            z.writestr(f"e{i}.txt", str(i))
+    return out.getvalue()
+
+
+#: Archives that a task builds and reads; the table's file may be a single split.
+DEALT = 5000
+
+
 @query("SELECT p_partkey AS k, CAST(least(p_size, 20) + 1 AS BIGINT) AS entries, p_size > 20 AS cut, 1 AS skipped FROM part")
 def archive_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jars of ``p_size`` + 2 small files, the second of which swells too much: at most 22 entries are read, the swollen one is skipped."""
+    """A ``swelling_jar`` for each part: at most 22 entries are read, the swollen one is skipped.
 
-    def build(pdfs):
-        import pandas as pd
+    A task zips jars of one size once; every part's jar is opened and read.
+    """
 
-        for pdf in pdfs:
-            made = []
-            for k, n in zip(pdf["p_partkey"], pdf["p_size"], strict=True):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("first.txt", "x")
-                    z.writestr("swollen.txt", "a" * 60_000)
-                    for i in range(int(n)):
-                        z.writestr(f"e{i}.txt", str(i))
-                made.append((f"/m/{k}.jar", out.getvalue()))
-            yield pd.DataFrame(made, columns=["path", "content"])
-
-    files = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(build, "path string, content binary")
+    def build(batches):
+        import pyarrow as pa
+
+        jar = functools.lru_cache(256)(swelling_jar)
+        for batch in batches:
+            keys, sizes = (c.to_pylist() for c in batch.columns)
+            yield pa.record_batch({"path": pa.array([f"/m/{k}.jar" for k in keys]), "content": pa.array([jar(n) for n in sizes], pa.binary())})
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    tasks_ = max(spark.sparkContext.defaultParallelism, parts.count() // DEALT + 1)
+    files = parts.repartition(tasks_, "p_partkey").mapInArrow(build, "path string, content binary")
     rows = archive.expand(files, archive.Limits(entries=22))
-    read = rows.groupBy("container_path").agg(F.count("text").alias("entries"), F.max("error").alias("error"))
-    k = F.regexp_extract("container_path", "([0-9]+)[.]jar", 1).cast("long")
-    return read.select(k.alias("k"), "entries", F.col("error").contains("too many entries").alias("cut"), F.regexp_count("error", F.lit("skipped by size or ratio")).alias("skipped"))
+    # Of numbers and booleans Spark keeps maxima in a hash table; for those of strings it would sort all entries.
+    error = F.col("error")
+    read = rows.groupBy("container_path").agg(
+        F.count("text").alias("entries"), F.max(error.contains("too many entries")).alias("cut"), F.max(F.regexp_count(error, F.lit("skipped by size or ratio"))).alias("skipped")
+    )
+    return read.select(F.regexp_extract("container_path", "([0-9]+)[.]jar", 1).cast("long").alias("k"), "entries", "cut", "skipped")
 
 
 @query("SELECT o_custkey AS custkey, count(*) AS findings_count, max(o_orderkey) AS last_order, 'complete' AS status FROM orders GROUP BY o_custkey")

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
-from siltstone.operators import listing
+from siltstone.operators import archive, listing
 from siltstone.operators.ranges import sums_before
-from siltstone.plans import report, state, store, tasks
+from siltstone.plans import queries, report, state, store, tasks
 
 
 NOW = datetime.datetime(2024, 5, 1)
@@ -160,3 +160,16 @@ def test_attempts_run_out(spark, tmp_path):
         state.add_attempts(spark.createDataFrame(rows, "gav_path string, status string, error string"), "r", NOW, path)
     assert [tuple(r) for r in state.exhausted(state.attempts(spark, path)).collect()] == [("a", 4)]
     assert state.exhausted(state.attempts(spark, path), most=0).count() == 0
+
+
+def test_archives_of_one_split_are_dealt(spark, tmp_path, monkeypatch):
+    sizes = [1, 19, 20, 21, 50]
+    spark.createDataFrame([(i, sizes[i % 5]) for i in range(1000)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made, expand = [], archive.expand
+    monkeypatch.setattr(queries, "DEALT", 100, raising=False)
+    monkeypatch.setattr(archive, "expand", lambda files, *args: made.append(files) or expand(files, *args))
+    found = queries.archive_guards(spark, str(tmp_path))
+    held = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 1000 and len(held) > 8 and max(held) < 200
+    assert {tuple(r) for r in found.collect()} == {(i, min(sizes[i % 5], 20) + 1, sizes[i % 5] > 20, 1) for i in range(1000)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
