@@ -97,6 +97,22 @@ def test_expand_with_errors(spark):
     assert rows["/r/a.jar"].text == "x�" and rows["/r/b.jar"].text is None and "BadZip" in rows["/r/b.jar"].error
 
 
+def test_small_containers_leave_together(spark, monkeypatch):
+    data = [(f"/r/{i}.jar", bytearray(b"?" if i == 7 else zipped([("a.txt", b"%d" % i), ("b.txt", b"")]))) for i in range(20)]
+    frame = spark.createDataFrame(data, "path string, content binary").coalesce(1)
+    given = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: given.append((self, f)))
+    archive.expand(frame)
+    batches = lambda: list(given[0][1](given[0][0].toArrow().to_batches()))
+    want = [(p, n, f"{'ab'[n]}.txt", [p[3:-4], ""][n], None) for p, _ in data for n in range(2)]
+    want[14:16] = [("/r/7.jar", 0, None, None, "BadZipFile: File is not a zip file")]
+    (whole,) = batches()
+    assert [tuple(r.values()) for r in whole.to_pylist()] == want
+    monkeypatch.setattr(archive, "ROWS", 4)
+    cut = batches()
+    assert len(cut) == 10 and [tuple(r.values()) for b in cut for r in b.to_pylist()] == want
+
+
 LISTING = """<a href="../">../</a> <a href="1.0/">1.0/</a> <a href="a-1.0.jar" title="x">a-1.0.jar</a>
 <a  href="a%2Bb.pom">a+b.pom</a> <a href="/">/</a> <a class="x" href="no.jar">no</a> <a href="..">Parent Directory</a>"""
 
